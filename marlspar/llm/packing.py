@@ -215,7 +215,7 @@ def _pack(path: str, length: int, most: int):
 
 
 def _merge(length: int, most: int, base: int):
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key, table):
         packer = Packer(base + (key[0].as_py() << 20), length, most)
         rows = table.select(["doc_id", "start", "ids", "doc_tokens", "sequence_id", "offset"]).sort_by([("sequence_id", "ascending"), ("offset", "ascending")])
         for r in zip(*(rows.column(c).to_pylist() for c in ("doc_id", "start", "ids", "doc_tokens")), strict=True):
