@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import language, mixing, packing, quality, substring
+from . import jaccard, language, mixing, packing, quality, substring
 
 QUERIES = {
+    "op9_ngram_jaccard": jaccard.op9_ngram_jaccard,
     "op3_quality_classifier": quality.op3_quality_classifier,
     "op7_language_id": language.op7_language_id,
     "op2_substring_dedup": substring.op2_substring_dedup,
     "op4_source_mixing": mixing.op4_source_mixing,
     "op10_packing": packing.op10_packing,
 }
-SQL = {"op2_substring_dedup": substring.SQL, "op4_source_mixing": mixing.SQL}
+SQL = {"op9_ngram_jaccard": jaccard.SQL, "op2_substring_dedup": substring.SQL, "op4_source_mixing": mixing.SQL}
