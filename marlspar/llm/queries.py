@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import jaccard, language, mixing, packing, quality, substring
+from . import jaccard, language, mixing, packing, quality, substring, vectors
 
 QUERIES = {
+    "op5_embedding_near_dedup": vectors.op5_embedding_near_dedup,
+    "op8_ann_search": vectors.op8_ann_search,
     "op9_ngram_jaccard": jaccard.op9_ngram_jaccard,
     "op3_quality_classifier": quality.op3_quality_classifier,
     "op7_language_id": language.op7_language_id,
@@ -12,4 +14,4 @@ QUERIES = {
     "op4_source_mixing": mixing.op4_source_mixing,
     "op10_packing": packing.op10_packing,
 }
-SQL = {"op9_ngram_jaccard": jaccard.SQL, "op2_substring_dedup": substring.SQL, "op4_source_mixing": mixing.SQL}
+SQL = {"op5_embedding_near_dedup": vectors.SQL5, "op9_ngram_jaccard": jaccard.SQL, "op2_substring_dedup": substring.SQL, "op4_source_mixing": mixing.SQL}
