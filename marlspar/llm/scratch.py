@@ -23,10 +23,20 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of a bounded number of bytes, so that workers' memory doesn't follow the length of texts.
+
+    A session that sets its own limits keeps them."""
+    for key, least, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "268435456", "4194304")):
+        if spark.conf.get(key, least) in (least, "9223372036854775807", "-1"):
+            spark.conf.set(key, most)
+
+
 def cut(df: DataFrame, owner: str) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it back: what follows does not
     depend on executors that ran what came before."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = f"{shared_dir(spark)}/marlspar-{owner}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _written.setdefault(owner.split(".")[0], []).append((spark, path))
