@@ -1,7 +1,73 @@
-"""The corpus pipeline (stages follow)."""
-STAGES: list = []
+"""The corpus pipeline: language, near copies, repeated passages, mixture, packing.
+
+Each stage takes the documents that its predecessor kept, as a table that was written and read again.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marlspar.llm import jaccard, language, mixing, packing, scratch, substring
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def _begin(spark: SparkSession) -> None:
+    """What earlier stages cut is done with: their results have been written."""
+    scratch.bound_batches(spark)
+    scratch.release("op2", "op4", "op9", "op10")
+
+
+def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language (null, or no letter) go; ``lang`` of the others is the predicted one.
+
+    Ambiguous texts stay with their nearest language: uncertainty between two languages is no fault of a text."""
+    _begin(spark)
+    model = language.fit(docs.where(~language.held_out()).select("doc_id", "text", "lang"))
+    found = language.predict(docs.select(*COLUMNS), model)
+    return found.where("lang_pred <> 'und'").select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document of least id stays; of equal ids one row."""
+    _begin(spark)
+    keep = jaccard.join(docs).where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(keep, "doc_id").dropDuplicates(["doc_id"]).select(*COLUMNS)
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that an earlier document has are cut out; a document that nothing is left of goes."""
+    _begin(spark)
+    kept = substring.dedup(docs.select(*COLUMNS)).where("n_words > n_removed")
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
+    return kept.select("doc_id", text.alias("text"), "lang", "source").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each source's documents as often as its target asks for; the last one is cut to the budget."""
+    _begin(spark)
+    mixed = mixing.materialise(docs.select(*COLUMNS), mixing.mix(docs))
+    return mixed.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of 1024 ids: a row for each piece."""
+    _begin(spark)
+    return packing.pack(docs)
+
+
+STAGES = [("language_id", identify), ("ngram_jaccard", near_copies), ("substring_dedup", passages), ("source_mixing", mixture), ("packing", packed)]
+#: Trained codes and a tokenizer can't be told in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    base = f"{scratch.shared_dir(spark)}/marlspar-pipeline-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
+        docs = spark.read.parquet(f"{base}/{k}")
+    return docs
