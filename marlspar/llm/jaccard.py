@@ -14,8 +14,8 @@ components: a group of any number of near copies costs its size, not its square,
 two components is lost.
 
 Defined cases: null and empty texts have an empty set, n_shingles 0, and link with nothing; a text
-under three words is one shingle; rows of equal text always share a component; a row without doc_id has
-component null unless an equal text has one; other columns are ignored.
+under three words is one shingle; rows of equal text always share a component, and so do rows of one doc_id; a
+row without doc_id has component null unless an equal text has one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -201,6 +201,9 @@ class Join:
         lead = cut(entries.withColumn("o", order).groupBy("token").agg(*[F.min_by(c, "o").alias(n) for c, n in (("doc_id", "yd"), ("s1", "ys"), ("n", "yn"), ("pos", "yp"))]), "op9")
         x = [F.col("doc_id").alias("xd"), F.col("s1").alias("xs"), F.col("n").alias("xn"), F.col("pos").alias("xp")]
         near = cut(self._verified(self._pairs(entries.join(lead, "token").select(*x, "yd", "ys", "yn", "yp"))), "op9")
+        twice = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).where("lo < hi").select("doc_id")
+        same = rows.join(twice, "doc_id", "left_semi").join(reps.select("s1", "s2", F.col("doc_id").alias("b")), ["s1", "s2"]).select(F.col("doc_id").alias("a"), "b")
+        near = cut(near.unionByName(same), "op9")
         label = components(near, "op9")
 
         named = entries.join(label.select(F.col("u").alias("doc_id"), F.col("v").alias("c")), "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))

@@ -43,16 +43,14 @@ def grams(data: np.ndarray) -> np.ndarray:
 
 def codewords(n: int, bits: int = BITS) -> np.ndarray:
     """n rows of +1 and -1, far from each other: the best of many drawn with a fixed seed."""
-    rng, best, far = np.random.default_rng(7), None, -1
+    rng, best, far = np.random.default_rng(7), None, (-1, 0)
     bits = max(bits, int(np.ceil(3 * np.log2(max(n, 2)))))
     for _ in range(300):
         c = np.where(rng.random((n, bits)) < 0.5, -1.0, 1.0)
-        balance = np.abs(c.sum(0)).max() if n > 1 else 0
-        if balance == n and n > 1:
-            continue  # a bit that all languages share says nothing
         d = (c[:, None] != c[None]).sum(2) + np.eye(n, dtype=int) * bits
-        if d.min() > far:
-            best, far = c, d.min()
+        same = int((np.abs(c.sum(0)) == n).sum())  # bits that all languages share say nothing
+        if (d.min(), -same) > far:
+            best, far = c, (d.min(), -same)
     return best
 
 
@@ -147,7 +145,8 @@ def _predict(shared):
 
 
 def predict(docs: DataFrame, model: dict | None) -> DataFrame:
-    """``docs`` with lang_pred, score and ambiguous."""
+    """``docs`` with lang_pred, score and ambiguous, in place of columns of these names."""
+    docs = docs.drop("lang_pred", "score", "ambiguous")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(_predict(shared), f"{fields}, lang_pred string, score double, ambiguous boolean")

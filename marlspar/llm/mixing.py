@@ -118,7 +118,7 @@ def _copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Repeats whole texts and cuts the last repeat to its words."""
     for b in batches:
         at = {n: i for i, n in enumerate(b.schema.names)}
-        text, size, taken = (b.column(at[n]).to_pylist() for n in ("text", "size", "taken"))
+        text, size, taken = (b.column(at[n]).to_pylist() for n in ("text", "__size", "__taken"))
         rows, texts = [], []
         for i, (t, s, k) in enumerate(zip(text, size, taken, strict=True)):
             whole, part = divmod(k, s) if s else (0, 0)
@@ -130,17 +130,20 @@ def _copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 _, end, _ = K.word_bounds(data, np.array([0, len(data)]))
                 texts.append(raw[: end[part - 1]].decode())
         out = b.take(pa.array(rows, pa.int64()))
-        cols = [pa.array(texts, b.schema.field("text").type) if n == "text" else out.column(at[n]) for n in b.schema.names if n not in ("size", "taken")]
-        yield pa.RecordBatch.from_arrays(cols, [n for n in b.schema.names if n not in ("size", "taken")])
+        names = [n for n in b.schema.names if n not in ("__size", "__taken")]
+        yield pa.RecordBatch.from_arrays([pa.array(texts, b.schema.field("text").type) if n == "text" else out.column(at[n]) for n in names], names)
 
 
 def materialise(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The mix itself: each document as often as it is taken, its last repeat cut to the budget."""
-    keyed = docs.withColumn("mix_row_key", F.xxhash64("doc_id", "source", "text"))
+    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "source", "text"))
     once = mixed.groupBy("doc_id", "row_key", "size").agg(F.sum("taken").alias("taken"), F.count(F.lit(1)).alias("n"))  # equal rows share what they take
-    joined = keyed.join(once.withColumnRenamed("doc_id", "mix_id"), (F.col("doc_id") == F.col("mix_id")) & (F.col("mix_row_key") == F.col("row_key")))
-    share = joined.where("taken > 0").withColumn("taken", F.expr("taken div n")).select(*docs.columns, "size", "taken")
-    return share.mapInArrow(_copies, docs.schema)
+    once = once.where("taken > 0").select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__row_key"), F.col("size").alias("__size"), "taken", "n")
+    once = once.select("__id", "__row_key", "__size", F.expr("taken div n").alias("__each"), F.expr("taken % n").alias("__more"))
+    twin = Window.partitionBy("__id", "__row_key").orderBy(F.lit(0))
+    joined = keyed.join(once, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__row_key")))
+    shared = joined.withColumn("__taken", F.col("__each") + F.when(F.row_number().over(twin) <= F.col("__more"), 1).otherwise(0))
+    return shared.where("__taken > 0").select(*docs.columns, "__size", "__taken").mapInArrow(_copies, docs.schema)
 
 
 def op4_source_mixing(spark, sf_dir: str) -> DataFrame:

@@ -168,7 +168,8 @@ def _score(shared):
 
 
 def score(docs: DataFrame, model: dict | None) -> DataFrame:
-    """``docs`` (text, n_chars and any others) with score and predicted."""
+    """``docs`` (text, n_chars and any others) with score and predicted, in place of columns of these names."""
+    docs = docs.drop("score", "predicted")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(_score(shared), f"{fields}, score double, predicted int")

@@ -97,9 +97,9 @@ def _windows(length: int):
 
 
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds n_words, n_removed and the kept words joined by single spaces; takes ``spans`` away."""
+    """Adds n_words, n_removed and the kept words joined by single spaces; takes ``__spans`` away."""
     for b in batches:
-        at = b.schema.names.index("spans")
+        at = b.schema.names.index("__spans")
         spans, texts = b.column(at).to_pylist(), K.column(b, "text").to_pylist()
         n, gone, kept = [], [], []
         for t, sp in zip(texts, spans, strict=True):
@@ -141,14 +141,15 @@ def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED_WORDS) -> Da
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, seed: int = SEED_WORDS) -> DataFrame:
-    """``docs`` (doc_id, text and any others) with n_words, n_removed, kept_sha256 and kept_text."""
+    """``docs`` (doc_id, text and any others) with n_words, n_removed, kept_sha256 and kept_text, in place of columns of these names."""
+    docs = docs.drop("n_words", "n_removed", "kept_sha256", "kept_text")
     gone = cut(repeats(docs, length, seed), "op2")
-    spans = gone.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    spans = spans.select(F.col("doc_id").alias("span_id"), F.col("row_key").alias("span_key"), "spans")
-    split = member_of(gone, "doc_id")(docs, "touched")
-    hit = split.where("touched").drop("touched")
-    hit = hit.join(spans.hint("shuffle_hash"), (F.col("doc_id") == F.col("span_id")) & (F.xxhash64("text") == F.col("span_key")), "left").select(*docs.columns, "spans")
-    rest = split.where("NOT touched").select(*docs.columns, F.lit(None).cast("array<struct<s:int,e:int>>").alias("spans"))
+    spans = gone.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("s", "e")).alias("__spans"))
+    spans = spans.select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__key"), "__spans")
+    split = member_of(gone, "doc_id")(docs, "__touched")
+    hit = split.where("__touched").drop("__touched")
+    hit = hit.join(spans.hint("shuffle_hash"), (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__key")), "left").select(*docs.columns, "__spans")
+    rest = split.where("NOT __touched").select(*docs.columns, F.lit(None).cast("array<struct<s:int,e:int>>").alias("__spans"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return rest.unionByName(hit).mapInArrow(_strip, f"{fields}, n_words long, n_removed long, kept_sha256 string, kept_text string")
 

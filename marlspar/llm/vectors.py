@@ -245,7 +245,7 @@ FROM embeddings LEFT JOIN c ON c.x = vec_id LEFT JOIN m ON m.x = vec_id
 
 # ---------------------------------------------------------------- nearest neighbours
 
-TABLES, HASHES, WIDTH, PROBES, TOP, EVERY = 2, 4, 1.6, 48, 20, 20
+TABLES, HASHES, WIDTH, PROBES, TOP, EVERY = 2, 4, 1.6, 80, 20, 20
 #: Query rows in one group.
 QUERIES = 4096
 _OFFSETS = np.array(list(itertools.product((-2, -1, 0, 1, 2), repeat=HASHES)))
