@@ -6,8 +6,6 @@ import atexit
 import tempfile
 import uuid
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,23 +64,16 @@ def member_of(ids: DataFrame, column: str):
     """A function that adds a column to a table: whether its ``column`` may be among ``ids``.
 
     The ids go into a bitmap of fixed size (no id is missed; others may pass), which spares rows that
-    surely have no partner a shuffle of their text.  With many ids all rows pass, and all are shuffled."""
-
-
-
-
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(BITMAP_BITS))
-    at = ids.select((slot(F.col(column)) + 1).alias("s"))  # bit positions count from 1
-    rows = at.groupBy(F.bitmap_bucket_number("s").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("m")).collect()
-    bits = np.zeros(BITMAP_BITS // 8, np.uint8)
-    for b, m in rows:
-        lo = (b - 1) * len(m)
-        bits[lo : lo + len(m)] = np.frombuffer(bytes(m), np.uint8)[: len(bits) - lo]
-    shared = ids.sparkSession.sparkContext.broadcast(bits)
-
-    @F.pandas_udf("boolean")
-    def test(s: pd.Series) -> pd.Series:
-        x = s.to_numpy(np.int64)
-        return pd.Series((shared.value[x >> 3] >> (x & 7).astype(np.uint8) & 1).astype(bool))
-
-    return lambda df, name: df.withColumn(name, test(slot(F.col(column))))
+    surely have no partner a shuffle of their text.  With many ids all rows pass, and all are shuffled.
+    The bitmap is broadcast, in 256 pieces of 4 KiB at most, and tested inside the JVM."""
+    slot = F.pmod(F.xxhash64(F.col(column)), F.lit(BITMAP_BITS)) + 1  # bit positions count from 1
+    maps = ids.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("__bits"))
+    at = F.bitmap_bit_position(slot)
+    byte = F.conv(F.hex(F.substring("__bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    found = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+
+    def add(df: DataFrame, name: str) -> DataFrame:
+        joined = df.join(F.broadcast(maps), F.bitmap_bucket_number(slot) == F.col("__bucket"), "left")
+        return joined.withColumn(name, found).drop("__bucket", "__bits")
+
+    return add
