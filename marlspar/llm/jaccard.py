@@ -170,10 +170,12 @@ class Join:
         x = side.select(F.col("doc_id").alias("xd"), F.col("s1").alias("xs"), F.col("n").alias("xn"), F.col("prefix").alias("px"))
         y = side.select(F.col("doc_id").alias("yd"), F.col("s1").alias("ys"), F.col("n").alias("yn"), F.col("prefix").alias("py"))
         both = pairs.join(x, ["xd", "xs"]).join(y, ["yd", "ys"])
-        both = both.withColumn("last", F.expr("least(array_max(px), array_max(py))"))
+        both = both.withColumn("shared", F.size(F.array_intersect("px", "py"))).withColumn("last", F.expr("least(element_at(px, -1), element_at(py, -1))"))
+        # prefixes are sorted: the one that ends first lies within the other's range whole
+        ended = f"shared + IF(element_at(px, -1) = last, xn - size(px), yn - size(py)) >= {self._needed('xn', 'yn')}"
         inside = lambda c: f"size(filter({c}, v -> v <= last))"
-        bound = f"size(array_intersect(px, py)) + least(xn - {inside('px')}, yn - {inside('py')}) >= {self._needed('xn', 'yn')}"
-        likely = cut(both.where(bound).select("xd", "xs", "xn", "yd", "ys", "yn"), "op9")
+        bound = f"shared + least(xn - {inside('px')}, yn - {inside('py')}) >= {self._needed('xn', 'yn')}"
+        likely = cut(both.where(f"CASE WHEN {ended} THEN {bound} ELSE FALSE END").select("xd", "xs", "xn", "yd", "ys", "yn"), "op9")
         wanted = likely.select(F.col("xd").alias("doc_id"), F.col("xs").alias("s1")).unionByName(likely.select(F.col("yd").alias("doc_id"), F.col("ys").alias("s1"))).distinct()
         few = member_of(wanted, "doc_id")(self.docs, "some").where("some").select("doc_id", "text")
         sets = few.mapInArrow(_whole(self.k), "doc_id long, s1 long, items array<long>").join(wanted, ["doc_id", "s1"], "left_semi").dropDuplicates(["doc_id", "s1"])
