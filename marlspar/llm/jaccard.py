@@ -34,8 +34,9 @@ from .scratch import cut, member_of
 SHINGLE = 3
 PERCENT = 90
 #: Counters of shingle frequencies, 4 bytes each, whatever the input.
-COUNTERS = 1 << 20
-_CHUNK = 1 << 12
+COUNTERS = 1 << 22
+_CHUNK = 1 << 14
+_SHIFT = np.uint64(42)
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -75,20 +76,19 @@ def _summaries(k: int):
         from pyspark import TaskContext
 
         names = ["doc_id", "n", "s1", "s2", "chunk", "task", "counts"]
-        counts, any_ = np.zeros(COUNTERS, np.int64), False
+        counts, any_ = np.zeros(COUNTERS, np.int32), False
         for b in batches:
             ids = b.column(0)
             for lo, hi, data, off in K.slices(K.column(b, "text")):
                 r, x = shingle_sets(data, off, k)
                 any_ = True
-                counts += np.bincount((x >> np.uint64(44)).astype(np.int64), minlength=COUNTERS)
+                np.add.at(counts, (x >> _SHIFT).astype(np.int64), 1)
                 size, s1, s2 = _fingerprints(r, x, hi - lo)
                 none = [pa.nulls(hi - lo, t) for t in (pa.int32(), pa.int32(), pa.binary())]
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(size, pa.int64()), K.signed(s1), K.signed(s2), *none], names)
         if any_:
-            c = np.minimum(counts, 2**31 - 1).astype(np.int32)
             n = COUNTERS // _CHUNK
-            blobs = [c[i * _CHUNK : (i + 1) * _CHUNK].tobytes() for i in range(n)]
+            blobs = [counts[i * _CHUNK : (i + 1) * _CHUNK].tobytes() for i in range(n)]
             yield pa.RecordBatch.from_arrays(
                 [*(pa.nulls(n, pa.int64()) for _ in range(4)), pa.array(np.arange(n, dtype=np.int32)), pa.array(np.full(n, TaskContext.get().partitionId(), np.int32)), pa.array(blobs, pa.binary())], names
             )
@@ -121,7 +121,7 @@ def _prefixes(k: int, percent: int, shared):
             for lo, hi, data, off in K.slices(K.column(b, "text")):
                 r, x = shingle_sets(data, off, k)
                 size, s1, s2 = _fingerprints(r, x, hi - lo)
-                key = (classes[(x >> np.uint64(44)).astype(np.int64)].astype(np.uint64) << np.uint64(57)) | (x >> np.uint64(7))  # below 2**63: classes stay under 64
+                key = (classes[(x >> _SHIFT).astype(np.int64)].astype(np.uint64) << np.uint64(57)) | (x >> np.uint64(7))  # below 2**63: classes stay under 64
                 order = np.lexsort((key, r))
                 key = key[order]
                 start = np.cumsum(size) - size
