@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .scratch import cut
+from .scratch import cut, member_of
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -139,11 +139,17 @@ def materialise(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     keyed = docs.withColumn("__key", F.xxhash64("doc_id", "source", "text"))
     once = mixed.groupBy("doc_id", "row_key", "size").agg(F.sum("taken").alias("taken"), F.count(F.lit(1)).alias("n"))  # equal rows share what they take
     once = once.where("taken > 0").select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__row_key"), F.col("size").alias("__size"), "taken", "n")
-    once = once.select("__id", "__row_key", "__size", F.expr("taken div n").alias("__each"), F.expr("taken % n").alias("__more"))
-    twin = Window.partitionBy("__id", "__row_key").orderBy(F.lit(0))
-    joined = keyed.join(once, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__row_key")))
-    shared = joined.withColumn("__taken", F.col("__each") + F.when(F.row_number().over(twin) <= F.col("__more"), 1).otherwise(0))
-    return shared.where("__taken > 0").select(*docs.columns, "__size", "__taken").mapInArrow(_copies, docs.schema)
+    once = cut(once, "op4")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__row_key"))
+    out = keyed.join(once.where("n = 1"), same).withColumn("__taken", F.col("taken")).select(*docs.columns, "__size", "__taken")
+    equal = once.where("n > 1")
+    if not equal.isEmpty():  # what is left over of an even share goes to the first rows
+        twin = Window.partitionBy("__id", "__row_key").orderBy(F.lit(0))
+        more = F.when(F.row_number().over(twin) <= F.expr("taken % n"), 1).otherwise(0)
+        rows = member_of(equal.withColumnRenamed("__id", "doc_id"), "doc_id")(keyed, "__some").where("__some OR doc_id IS NULL").drop("__some")
+        shared = rows.join(equal, same).withColumn("__taken", F.expr("taken div n") + more)
+        out = out.unionByName(shared.where("__taken > 0").select(*docs.columns, "__size", "__taken"))
+    return out.mapInArrow(_copies, docs.schema)
 
 
 def op4_source_mixing(spark, sf_dir: str) -> DataFrame:
