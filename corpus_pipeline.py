@@ -32,10 +32,11 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of least id stays; of equal ids one row."""
+    """Of each group of near copies the document of least id stays; of equal ids one row; rows without an id stay."""
     _begin(spark)
     keep = jaccard.join(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    docs = docs.select(*COLUMNS)
+    return docs.join(keep, "doc_id").dropDuplicates(["doc_id"]).select(*COLUMNS).unionByName(docs.where("doc_id IS NULL"))
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
