@@ -112,6 +112,13 @@ def test_structure(main):
     assert html.blocks(PAGE.format(main=main)[:-30])[0] == TEXT.split("\n\n")
 
 
+def test_names_of_elements():
+    keep = '<body class="has-sidebar menu-open"><div class="with-nav"><article class="post comments-open"><p>a</p><div class="related-posts">no</div></article></div></body>'
+    assert html.blocks(keep) == (["a"], [], True)
+    assert html.blocks('<div role="navigation">x</div><p hidden>y</p><div style="display: none">z</div><div id="siteFooter">f</div>k < 3') == ([], ["k < 3"], False)
+    assert html.blocks("<nav>menu<main>text</main>")[0] == ["text"]
+
+
 def pages(spark, rows):
     return spark.createDataFrame([(i, u, h, "x", "y") for i, u, h in rows], "page_id long, url string, html string, text string, host string").repartition(3)
 
