@@ -55,14 +55,19 @@ def codewords(n: int, bits: int = BITS) -> np.ndarray:
 
 
 def _features(buckets: int):
+    """The buckets of each text's trigrams and their relative frequencies."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lang, rows = b.column(0).to_pylist(), []
+            lang, ix, xs = b.column(0).to_pylist(), [], []
             for _, _, data, off in K.slices(K.column(b, "text")):
                 g = grams(data)
                 for i in range(len(off) - 1):
-                    rows.append(np.bincount(g[off[i] : off[i + 1]], minlength=buckets).astype(np.float32).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(rows, pa.binary())], ["lang", "x"])
+                    n = np.bincount(g[off[i] : off[i + 1]], minlength=buckets)
+                    at = np.flatnonzero(n)
+                    ix.append(at.astype(np.uint16).tobytes())
+                    xs.append((n[at] / max(1, off[i + 1] - off[i])).astype(np.float32).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(ix, pa.binary()), pa.array(xs, pa.binary())], ["lang", "ix", "xs"])
 
     return run
 
@@ -76,29 +81,39 @@ def fit(train: DataFrame, per_lang: int = SAMPLE_PER_LANG, bits: int = BITS) ->
     drawn = F.pmod(F.xxhash64(F.lit("language-sample"), "doc_id"), F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003
     sample = train.where("lang IS NOT NULL AND text IS NOT NULL").where(drawn).select("lang", "text")
     sample = sample.limit(2 * per_lang * len(counts))
-    rows = sample.mapInArrow(_features(BUCKETS), "lang string, x binary").select("lang", "x").collect()
+    rows = [r for r in sample.mapInArrow(_features(BUCKETS), "lang string, ix binary, xs binary").collect() if r[1]]
     if not rows:
         return None
     langs = sorted(counts)
-    y = np.array([langs.index(r[0]) for r in rows])
-    x = np.stack([np.frombuffer(r[1], np.float32) for r in rows])
-    x = np.sqrt(x / np.maximum(x.sum(1, keepdims=True), 1))
     code = codewords(len(langs), bits)
-    t, w, c = code[y].astype(np.float32), np.zeros((BUCKETS, code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
-    # Scores are linear in relative frequencies, so that one pass over a text's bytes gives them; the
-    # square roots only set each bucket's scale.
-    x = x * x
-    scale = (1 / np.sqrt(np.maximum(x.mean(0), 1e-5))).astype(np.float32)
-    z = x * scale
-    v = np.zeros_like(w)
-    for _ in range(80):
-        m = t * (z @ w + c)
-        g = (-t / (1 + np.exp(np.clip(m, -30, 30))) / len(y)).astype(np.float32)
-        gw = z.T @ g + np.float32(1e-5) * w
-        v = np.float32(0.9) * v + gw
-        w -= np.float32(30.0) * v
-        c -= np.float32(3.0) * g.sum(0)
-    right = np.clip((t * (z @ w + c) > 0).mean(0), 0.55, 0.999)
+    t = code[[langs.index(r[0]) for r in rows]].astype(np.float32)
+    size = np.array([len(r[1]) // 2 for r in rows])
+    bucket = np.frombuffer(b"".join(r[1] for r in rows), np.uint16).astype(np.int64)
+    x = np.frombuffer(b"".join(r[2] for r in rows), np.float32)
+    row, start = np.repeat(np.arange(len(rows)), size), np.cumsum(size) - size
+    n = len(rows)
+    del rows
+    # Scores are linear in relative frequencies, so that one pass over a text's bytes gives them; each
+    # bucket is scaled by the root of its mean frequency.
+    scale = (1 / np.sqrt(np.maximum(np.bincount(bucket, x, BUCKETS) / n, 1e-5))).astype(np.float32)
+    z = x * scale[bucket]
+    turn = np.argsort(bucket, kind="stable")  # the same numbers by bucket, for the gradient
+    used, first = np.unique(bucket[turn], return_index=True)
+    zt, rt = z[turn], row[turn]
+    w, c, v = np.zeros((BUCKETS, code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32), np.zeros((BUCKETS, code.shape[1]), np.float32)
+
+    def margins(k: int) -> np.ndarray:
+        return np.add.reduceat(z * w[bucket, k], start) + c[k]
+
+    for k in range(code.shape[1]):
+        for _ in range(80):
+            g = (-t[:, k] / (1 + np.exp(np.clip(t[:, k] * margins(k), -30, 30))) / n).astype(np.float32)
+            v[:, k] = np.float32(0.9) * v[:, k] + np.float32(1e-5) * w[:, k]
+            v[used, k] += np.add.reduceat(zt * g[rt], first)
+            w[:, k] -= np.float32(30.0) * v[:, k]
+            c[k] -= np.float32(3.0) * g.sum()
+    m = np.stack([margins(k) for k in range(code.shape[1])], 1)
+    right = np.clip((t * m > 0).mean(0), 0.55, 0.999)
     weight = np.log(right / (1 - right))
     return {"langs": langs, "code": code, "w": (w * scale[:, None]).astype(np.float32), "c": c, "weight": weight / weight.mean()}
 
