@@ -30,13 +30,14 @@ def run(builder, cte: A.Cte):
     spark = base.df.sparkSession
     where = builder.tables.scratch()
 
+    paths: list[str] = []
+
     def cut(df):
-        path = f"{where}/recursive-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
+        paths.append(f"{where}/recursive-{uuid.uuid4().hex}")
+        df.write.parquet(paths[-1])
+        return spark.read.schema(df.schema).parquet(paths[-1])
 
-    frontier = cut(base.df.distinct())
-    seen = frontier
+    frontier = seen = cut(base.df.distinct())
     for depth in range(DEPTH + 1):
         if frontier.isEmpty():
             return Built(seen, base.headers, base.types)
@@ -50,5 +51,5 @@ def run(builder, cte: A.Cte):
         rows = step.df.toDF(*base.df.columns)
         rows = rows.select(*[rows[f"`{n}`"].cast(t) for n, t in base.df.dtypes]).toDF(*base.df.columns)
         frontier = cut(_new(rows.distinct(), seen))
-        seen = seen.union(frontier)
+        seen = spark.read.schema(base.df.schema).parquet(*paths)  # one scan, however many rounds
     raise SqlError(f"recursive CTE '{cte.name}' exceeded max recursion depth {DEPTH}")
