@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from marlspar.llm import jaccard, language, mixing, packing, scratch, substring
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Words of a shingle and the least similarity of near copies, in percent; op9's own numbers bind its query only.
+NEAR = {"k": 5, "percent": 80}
 
 
 def _begin(spark: SparkSession) -> None:
@@ -34,7 +36,7 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document of least id stays; of equal ids one row; rows without an id stay."""
     _begin(spark)
-    keep = jaccard.join(docs).where("doc_id = component_id").select("doc_id").distinct()
+    keep = jaccard.join(docs, **NEAR).where("doc_id = component_id").select("doc_id").distinct()
     docs = docs.select(*COLUMNS)
     return docs.join(keep, "doc_id").dropDuplicates(["doc_id"]).select(*COLUMNS).unionByName(docs.where("doc_id IS NULL"))
 

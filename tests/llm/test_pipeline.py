@@ -51,3 +51,20 @@ def test_run_is_registered(spark):
     assert P.run(spark, "/root/testdata/sf0.001").count() > 0
     names = entry.queries()
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+
+
+def five(text):
+    w = [x.translate({c: c + 32 for c in range(65, 91)}) for x in split(text)]
+    return frozenset([tuple(w)] if 0 < len(w) < 5 else zip(*(w[k:] for k in range(5)), strict=False))
+
+
+def test_near_copies_share_five_words_at_four_fifths(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = docs.collect()
+    sets, least = {r.doc_id: five(r.text) for r in rows}, {r.doc_id: r.doc_id for r in rows}
+    links = [(x, y) for x in sets for y in sets if y < x and sets[x] and 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y])]
+    while any(least[x] != least[y] for x, y in links):
+        for x, y in links:
+            least[x] = least[y] = min(least[x], least[y])
+    assert {r.doc_id for r in P.near_copies(spark, docs, sf).collect()} == {x for x in sets if least[x] == x}
