@@ -140,6 +140,22 @@ def test_extraction(spark):
     assert html.extract(pages(spark, rows).where("false")).count() == 0
 
 
+def test_copies_of_an_article_do_not_erase_one_another(spark):
+    rng = random.Random(8)
+    body = lambda n: " ".join(f"b{rng.randrange(10**6)}" for _ in range(n))
+    a, b, c, d, e = body(60), body(60), body(60), body(60), body(200)
+    m1, m2 = (f"<div>one menu {x} of a section</div><div>its other entries are {x} too</div>" for x in ("first", "second"))
+    rows = [(1, "http://n.org/1", f"<p nonce=1>{a}</p>"), (2, "http://n.org/2", f"<p nonce=2>{a}</p>")]  # html differs, text doesn't
+    rows += [(3, "http://d.org/3", f"<p>{a}</p><p>on 3 May</p>"), (4, "http://d.org/4", f"<p>{a}</p><p>on 4 June</p>")]
+    rows += [(k, f"http://m.org/{k}", m + f"<p>{t}</p>") for k, (m, t) in enumerate([(m1, b), (m2, b), (m1, c), (m1, d), (m2, a)], 5)]  # one article, two menus
+    rows += [(10, "http://l.org/10", f"<p>{e}</p><p>seen by one reader out of all ten today</p>"), (11, "http://l.org/11", f"<p>{e}</p><p>nobody else has written a word about this</p>")]
+    got = {r.page_id: r.text for r in html.extract(pages(spark, rows)).collect()}
+    assert got[1] == got[2] == a
+    assert got[3] == a + "\n\non 3 May" and got[4] == a + "\n\non 4 June"
+    assert [got[k] for k in range(5, 10)] == [b, b, c, d, a]
+    assert got[10].startswith(e) and got[11].startswith(e)
+
+
 def test_derivatives(spark):
     rows = [(1, "http://a.org/x", PAGE.format(main="article")), (1, "http://a.org/x", PAGE.format(main="article")), (2, None, None), (3, "http://b.org", "<p>hé")]
     made = warc.responses(pages(spark, rows))
