@@ -119,6 +119,18 @@ def test_names_of_elements():
     assert html.blocks("<nav>menu<main>text</main>")[0] == ["text"]
 
 
+@pytest.mark.parametrize("tag", ["<p title=it's>", '<img alt="5" tall">', "<p title=\"it's>", '<p title="hidden>', "<p 'x>", "</>", "</ p>", '<p class="a>b" id=\'c>d\'>'])
+def test_odd_quotes_lose_no_text(tag):
+    main, _, _ = html.blocks(f"<article><p>one</p>{tag}two</p><p>three's</article>")
+    assert main == ["one", "two", "three's"]
+    assert html.blocks(f"<article><p>one</p>{tag}two <b>'x'</b> it's</p></article>")[0] == ["one", "two 'x' it's"]
+
+
+def test_a_less_than_before_other_letters_is_text():
+    assert html.blocks("<article>a <é b</article>")[0] == ["a <é b"]
+    assert html.blocks("<article>a <b never ends")[0] == ["a"]
+
+
 def pages(spark, rows):
     return spark.createDataFrame([(i, u, h, "x", "y") for i, u, h in rows], "page_id long, url string, html string, text string, host string").repartition(3)
 
