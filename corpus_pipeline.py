@@ -34,11 +34,17 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of least id stays; of equal ids one row; rows without an id stay."""
+    """Of each group of near copies the document of least id stays, one without an id only if none has one; of equal rows one.
+
+    Rows are told apart by id and text, so that an id which several texts share, or none, loses no document."""
     _begin(spark)
-    keep = jaccard.join(docs, **NEAR).where("doc_id = component_id").select("doc_id").distinct()
-    docs = docs.select(*COLUMNS)
-    return docs.join(keep, "doc_id").dropDuplicates(["doc_id"]).select(*COLUMNS).unionByName(docs.where("doc_id IS NULL"))
+    docs = docs.select(*COLUMNS, F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text").alias("row_key"))
+    found = jaccard.join(docs.select(F.col("row_key").alias("doc_id"), "text"), **NEAR)
+    found = found.groupBy(F.col("doc_id").alias("row_key")).agg(F.min("component_id").alias("component_id"))
+    ids = docs.groupBy("row_key").agg(F.min("doc_id").alias("doc_id"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("first")
+    keep = found.join(ids, "row_key").groupBy("component_id").agg(first).select("first.row_key")
+    return docs.join(keep, "row_key").dropDuplicates(["row_key"]).select(*COLUMNS)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -68,3 +68,12 @@ def test_near_copies_share_five_words_at_four_fifths(spark):
         for x, y in links:
             least[x] = least[y] = min(least[x], least[y])
     assert {r.doc_id for r in P.near_copies(spark, docs, sf).collect()} == {x for x in sets if least[x] == x}
+
+
+def test_near_copies_of_rows_without_an_id_of_their_own(spark):
+    text = {k: " ".join(f"{k}{i}" for i in range(40)) for k in "abcd"}
+    rows = [(None, text["a"]), (None, text["a"]), (None, text["b"] + " x"), (5, text["b"]), (7, text["c"]), (7, text["d"]), (8, text["c"] + " y"), (9, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = P.near_copies(spark, docs, "")
+    assert got.columns == P.COLUMNS
+    assert sorted([(r.doc_id, r.text) for r in got.collect()], key=str) == sorted([(None, text["a"]), (5, text["b"]), (7, text["c"]), (7, text["d"]), (9, None), (None, "")], key=str)
