@@ -33,12 +33,14 @@ _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
 
 
-def grams(data: np.ndarray) -> np.ndarray:
-    """The bucket of the trigram that starts at each byte (case of A-Z dropped)."""
+def grams(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """The bucket of the trigram that starts at each byte (case of A-Z dropped); zeros follow the end of each row."""
     x = K._LOWER[data].astype(np.uint32)
     y = np.zeros(len(x) + 2, np.uint32)
     y[: len(x)] = x
-    return ((y[:-2] + (y[1:-1] << 8) + (y[2:] << 16)) * np.uint32(2654435761)) >> np.uint32(19)
+    second, third = y[1:-1].copy(), y[2:].copy()
+    second[off[off > 0] - 1] = third[off[off > 0] - 1] = third[off[off > 1] - 2] = 0
+    return ((x + (second << 8) + (third << 16)) * np.uint32(2654435761)) >> np.uint32(19)
 
 
 def codewords(n: int, bits: int = BITS) -> np.ndarray:
@@ -61,7 +63,7 @@ def _features(buckets: int):
         for b in batches:
             lang, ix, xs = b.column(0).to_pylist(), [], []
             for _, _, data, off in K.slices(K.column(b, "text")):
-                g = grams(data)
+                g = grams(data, off)
                 for i in range(len(off) - 1):
                     n = np.bincount(g[off[i] : off[i + 1]], minlength=buckets)
                     at = np.flatnonzero(n)
@@ -139,7 +141,7 @@ def _predict(shared):
                     score += [0.0] * n
                     unsure += [False] * n
                     continue
-                g, at = grams(data), np.minimum(off[:-1], len(data) - 1)
+                g, at = grams(data, off), np.minimum(off[:-1], len(data) - 1)
                 size = np.diff(off)
                 f = np.zeros((n, model["w"].shape[1]))
                 for a in range(0, n):  # one text at a time keeps the working set in the cache

@@ -259,6 +259,21 @@ def test_language(spark):
     assert language.predict(docs.where("false"), model).count() == 0
 
 
+def test_language_does_not_depend_on_the_rows_beside(spark):
+    rng = random.Random(11)
+    kinds = {"aa": "abcde", "bb": "efghi"}
+    docs = table(spark, [(i, texts_of(rng, kinds[k], 20), k, k) for i, k in enumerate(rng.choices(list(kinds), k=80))])
+    model = language.fit(docs.select("doc_id", "text", "lang"))
+    few = ["ef", "abc", "e", "", "ef", "ghi", "abc", "e", "e", "abcde", "ef"]
+    got = language.predict(spark.createDataFrame(list(enumerate(few)), "doc_id long, text string").coalesce(1), model).collect()
+    alone = [language.predict(spark.createDataFrame([(0, t)], "doc_id long, text string"), model).first() for t in sorted(set(few))]
+    want = {r.text: (r.lang_pred, r.score, r.ambiguous) for r in alone}
+    assert [(r.lang_pred, r.score, r.ambiguous) for r in sorted(got)] == [want[t] for t in few]
+    data, off = np.frombuffer(b"abcdeabc", np.uint8), np.array([0, 0, 3, 4, 4, 5, 8])
+    g = language.grams(data, off)
+    assert g[:3].tolist() == g[5:].tolist() and language.grams(data[3:4], np.array([0, 0, 1])).tolist() == g[3:4].tolist()
+
+
 def test_codewords_are_far_apart():
     for n in (1, 2, 4, 20):
         c = language.codewords(n)
