@@ -7,7 +7,7 @@ links of the page; the conversion record's block is the page's text in UTF-8.  R
 that runs again writes the same records.
 
 Defined cases: a response without an HTTP head is taken as a bare payload with status null; a null block
-is empty; a null uri is left out of the headers; equal rows give equal records; an empty table gives an empty result; other columns
+is empty; a null uri is left out of the headers; a repeated header has the list of its values; equal rows give equal records; an empty table gives an empty result; other columns
 are ignored.
 """
 
@@ -55,19 +55,45 @@ def serialise(head: str, block: bytes) -> bytes:
     return head.encode() + block + b"\r\n\r\n"
 
 
-def parse(data: bytes) -> Iterator[tuple[dict, bytes]]:
-    """Headers and block of each record of an uncompressed WARC file's content."""
+def fields(lines: list[str]) -> list[tuple[str, str]]:
+    """Name and value of each header line; a line that begins with white space goes on with the value before."""
+    out: list[tuple[str, str]] = []
+    for line in lines:
+        name, colon, value = line.partition(":")
+        if line[:1] in (" ", "\t"):
+            if out:
+                out[-1] = (out[-1][0], f"{out[-1][1]} {line.strip()}".strip())
+        elif colon:
+            out.append((name.strip(), value.strip()))
+    return out
+
+
+def by_name(pairs: list[tuple[str, str]]) -> dict[str, str | list[str]]:
+    """The value of each name; of a repeated one the list of its values."""
+    out: dict[str, list[str]] = {}
+    for name, value in pairs:
+        out.setdefault(name, []).append(value)
+    return {k: v[0] if len(v) == 1 else v for k, v in out.items()}
+
+
+def _records(data: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
     at = 0
     while (at := data.find(b"WARC/1.", at)) >= 0:
         end = data.find(b"\r\n\r\n", at)
         if end < 0:
             return
-        head = dict(x.split(": ", 1) for x in data[at:end].decode("utf-8", "replace").split("\r\n")[1:] if ": " in x)
-        size = int(head.get("Content-Length", 0))
+        head = fields(data[at:end].decode("utf-8", "replace").split("\r\n")[1:])
+        size = int(dict(head).get("Content-Length", 0))
         yield head, data[end + 4 : end + 4 + size]
         at = end + 4 + size
 
 
+def parse(data: bytes) -> Iterator[tuple[dict, bytes]]:
+    """Headers and block of each record of an uncompressed WARC file's content."""
+    for head, block in _records(data):
+        yield by_name(head), block
+
+
 def _responses(date: str):
     def run(batches):
         for b in batches:
@@ -101,17 +127,17 @@ def split_http(block: bytes) -> tuple[int | None, list[tuple[str, str]], bytes]:
     head, _, body = block.partition(b"\r\n\r\n")
     lines = head.decode("latin-1").split("\r\n")
     status = lines[0].split(" ")
-    return int(status[1]) if len(status) > 1 and status[1].isdigit() else None, [tuple(x.split(": ", 1)) for x in lines[1:] if ": " in x], body
+    return int(status[1]) if len(status) > 1 and status[1].isdigit() else None, fields(lines[1:]), body
 
 
 def derive_one(rid: str, uri: str | None, date: str, payload: str | None, own: str, head: str, block: bytes) -> tuple[tuple, tuple]:
     """The metadata and the conversion record of one response."""
-    status, fields, body = split_http(block)
+    status, sent, body = split_http(block)
     page = body.decode("utf-8", "replace")
     title = _TITLE.search(page)
     info = {
-        "source": dict(x.split(": ", 1) for x in head.split("\r\n")[1:] if ": " in x),
-        "http": {"status": status, "headers": dict(fields)},
+        "source": by_name(fields(head.split("\r\n")[1:])),
+        "http": {"status": status, "headers": by_name(sent)},
         "html": {"title": " ".join(unescape(title.group(1)).split()) if title else None, "links": [unescape(a or b or c) for a, b, c in _LINK.findall(page)]},
         "payload": {"digest": payload or digest(body), "length": len(body)},
     }
@@ -145,8 +171,9 @@ def read(spark, path: str) -> DataFrame:
         for b in batches:
             for data in b.column(0).to_pylist():
                 rows = []
-                for h, block in parse(data):
-                    head = "WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in h.items()) + "\r\n"
+                for pairs, block in _records(data):
+                    h = dict(pairs)
+                    head = "WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in pairs) + "\r\n"
                     rows.append((h.get("WARC-Record-ID"), h.get("WARC-Type"), h.get("WARC-Refers-To"), h.get("WARC-Target-URI"), h.get("WARC-Date"), h.get("Content-Type"), h.get("WARC-Block-Digest"), h.get("WARC-Payload-Digest"), len(block), head, block))
                     if len(rows) == 256:
                         yield _batch(rows, NAMES)

@@ -198,3 +198,13 @@ def test_read(spark, tmp_path):
     assert [(x.record_id, bytes(x.block)) for x in got] == [(r[0], r[10]), (bare[0], bare[10])]
     infos = {x.refers_to: json.loads(bytes(x.block)) for x in warc.derive(warc.read(spark, str(tmp_path))).where("warc_type = 'metadata'").collect()}
     assert infos["<urn:uuid:1>"]["http"] == {"status": 404, "headers": {"A": "b"}} and infos["<urn:uuid:2>"]["http"]["status"] is None
+
+
+def test_repeated_and_tight_headers_are_kept(spark, tmp_path):
+    http = b"HTTP/1.1 200 OK\r\nSet-Cookie: a=1\r\nLink:<x>\r\nSet-Cookie:b=2\r\nX-Long: one\r\n two\r\nEmpty:\r\n\r\n<p>body"
+    head = f"WARC/1.0\r\nWARC-Type:response\r\nWARC-Record-ID:<urn:uuid:3>\r\nWARC-Date: {warc.DATE}\r\nWARC-Concurrent-To: <urn:uuid:4>\r\nWARC-Concurrent-To: <urn:uuid:5>\r\nContent-Length:{len(http)}\r\n\r\n"
+    (tmp_path / "y.warc").write_bytes(warc.serialise(head, http))
+    made = warc.derive(warc.read(spark, str(tmp_path))).where("warc_type = 'metadata'").collect()
+    info = json.loads(bytes(made[0].block))
+    assert info["http"]["headers"] == {"Set-Cookie": ["a=1", "b=2"], "Link": "<x>", "X-Long": "one two", "Empty": ""}
+    assert info["source"]["WARC-Concurrent-To"] == ["<urn:uuid:4>", "<urn:uuid:5>"] and info["source"]["WARC-Record-ID"] == "<urn:uuid:3>"
