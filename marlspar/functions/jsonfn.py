@@ -1,7 +1,7 @@
 """JSON_EXTRACT and JSON_SET over JSON text.
 
-Paths name object keys only (``$.a.b``).  Scalars are read by the JVM's own JSON functions; objects and
-arrays, and JSON_SET, give compact text with sorted keys, which an Arrow UDF makes."""
+Paths name object keys only (``$.a.b``).  JSON_EXTRACT is the JVM's own JSON and variant functions; JSON_SET gives
+compact text with sorted keys, which an Arrow UDF makes."""
 
 from __future__ import annotations
 
@@ -64,21 +64,19 @@ def put_value(doc: str | None, path: str, new) -> str | None:
     return compact(root)
 
 
-def _sorted(docs):
-    return docs.map(lambda d: None if (v := _load(d)) is None else compact(v))
-
-
-_sorted.__annotations__ = {"docs": pd.Series, "return": pd.Series}
-
-
 def extract(doc: Column, path: str) -> Column:
-    """The value as text.  Only rows that hold an object or array pass through Python."""
+    """The value as text, wholly in the JVM: scalars as they stand, objects and arrays as compact text with sorted keys."""
     raw = F.get_json_object(doc, _quoted(path))
-    nested = F.when(raw.rlike(r"^\s*[\[{]"), raw)
-    normal = F.pandas_udf(_sorted, "string")
+    v = F.variant_get(F.try_parse_json(doc), _variant(path), "variant")
     # a text that only looks like an object stays as it is
-    kind = F.schema_of_variant(F.variant_get(F.try_parse_json(doc), _variant(path), "variant"))
-    return F.when(nested.isNotNull() & ~kind.eqNullSafe(F.lit("STRING")), normal(nested)).otherwise(raw)
+    nested = raw.rlike(r"^\s*[\[{]") & F.coalesce(~(F.schema_of_variant(v) == "STRING"), F.lit(False))
+    return F.when(nested, F.to_json(v)).otherwise(raw)
+
+
+def kind(doc: Column, path: str) -> Column:
+    """INT, BOOL or TEXT (all else); NULL where there is no value."""
+    found = F.schema_of_variant(F.variant_get(F.try_parse_json(doc), _variant(path), "variant"))
+    return F.when(found == "BIGINT", "INT").when(found == "BOOLEAN", "BOOL").when(found != "VOID", "TEXT")
 
 
 def _variant(path: str) -> str:

@@ -97,37 +97,58 @@ def value(e: A.Node, s: Scope) -> Typed:
     raise SqlError(f"unsupported expression {A.render(e)}")
 
 
+def equal(a: Typed, b: Typed) -> Column:
+    """Equality that a join can use as its key: NULLs match each other whatever the types, values only those of like types."""
+    for x, y in ((a, b), (b, a)):
+        if x.json and not y.json and y.type in ("INT", "BOOL", "TEXT", "JSON"):
+            typed = _typed_json(x, y.type if y.type in ("INT", "BOOL") else "TEXT").column
+            return F.struct(x.column.isNull(), typed).eqNullSafe(F.struct(y.column.isNull(), y.column))
+    if comparable(a.type, b.type):
+        return a.column.eqNullSafe(b.column)
+    return F.when(a.column.isNull(), 1) == F.when(b.column.isNull(), 1)
+
+
 def _typed_json(t: Typed, other: str) -> Typed:
     """A JSON_EXTRACT next to a value of a type: the rows of that type, the others NULL."""
     doc, path = t.json
     return Typed(jsonfn.extract_as(doc, path, other), other)
 
 
+def _ordered(a: Column, op: str, b: Column) -> Column:
+    return {"<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}[op]
+
+
 def compare(left: Typed, op: str, right: Typed, positive: bool) -> Column:
     """Two-valued comparison; in positive places unknown may stand for false."""
     for a, b in ((left, right), (right, left)):
-        if a.json and b.type in ("INT", "BOOL") and not b.json:
-            typed = _typed_json(a, b.type)
-            left, right = (typed, right) if a is left else (left, typed)
-            break
-        if a.json and b.type in ("TEXT", "JSON") and not b.json:
-            typed = _typed_json(a, "TEXT")
+        if a.json and not b.json and b.type in ("INT", "BOOL", "TEXT", "JSON"):
+            typed = _typed_json(a, b.type if b.type in ("INT", "BOOL") else "TEXT")
             left, right = (typed, right) if a is left else (left, typed)
+            if op in ("=", "!="):  # a row of another type is no NULL
+                same = F.when(b.column.isNull(), a.column.isNull()).otherwise(typed.column.eqNullSafe(b.column))
+                return same if op == "=" else ~same
             break
+    if left.json and right.json:
+        kinds = [jsonfn.kind(*t.json) for t in (left, right)]
+        alike = kinds[0].eqNullSafe(kinds[1])
+        if op in ("=", "!="):
+            same = alike & left.column.eqNullSafe(right.column)
+            return same if op == "=" else ~same
+        numbers = [jsonfn.extract_as(*t.json, "INT") for t in (left, right)]
+        c = alike & F.when(kinds[0] == "INT", _ordered(numbers[0], op, numbers[1])).otherwise(_ordered(left.column, op, right.column))
+        return c if positive else F.coalesce(c, F.lit(False))
     a, b = left.column, right.column
     null = "NULL" in (left.type, right.type)
-    if not null and not comparable(left.type, right.type):
-        return F.lit(op == "!=")
-    if null and op in ("=", "!="):
-        same = a.isNull() & b.isNull() if left.type == right.type else (b if left.type == "NULL" else a).isNull()
+    if null or not comparable(left.type, right.type):
+        if op not in ("=", "!="):
+            return F.lit(False)
+        same = a.isNull() & b.isNull()
         return same if op == "=" else ~same
-    if null:
-        return F.lit(False)
     if op == "=":
         return a.eqNullSafe(b)
     if op == "!=":
         return ~a.eqNullSafe(b)
-    c = {"<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}[op]
+    c = _ordered(a, op, b)
     return c if positive else F.coalesce(c, F.lit(False))
 
 

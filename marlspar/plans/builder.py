@@ -10,11 +10,11 @@ from dataclasses import dataclass
 from functools import reduce
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import recursive
-from ..operators.semantics import Scope, Typed, comparable, logical, predicate, value
+from ..operators.semantics import Scope, Typed, comparable, equal, logical, predicate, value
 from . import ast as A
 from .parser import SqlError
 
@@ -66,6 +66,9 @@ class Tables(Protocol):
     def relation(self, name: str) -> Relation | None: ...
     def call(self, name: str, args: list[Typed]) -> Typed: ...
     def one_row(self) -> DataFrame: ...
+    def keep(self, df: DataFrame) -> DataFrame: ...
+    @property
+    def spark(self) -> SparkSession: ...
 
 
 def fields_of(df: DataFrame, types: list[str] | None, *quals: str) -> list[Field]:
@@ -135,7 +138,8 @@ class Builder:
             raise SqlError("GROUP BY requires aggregate expressions in SELECT")
         if q.having is not None:
             raise SqlError("HAVING requires GROUP BY or aggregates")
-        return self.project(rel, q, self.windows(rel, q.items))
+        rel, known = self.windows(rel, q.items)
+        return self.project(rel, q, known)
 
     def join(self, left: Relation, q: A.Select) -> Relation:
         j = q.join
@@ -160,11 +164,7 @@ class Builder:
             x, y = on(a, j.right_on), on(b, j.left_on)
         if x is None or y is None:
             raise SqlError(f"unknown join column in '{j.left_on} = {j.right_on}'")
-        if not comparable(x.type, y.type):
-            condition = F.lit(False)
-        else:
-            condition = x.column.eqNullSafe(y.column)
-        return Relation(ldf.join(rdf, condition, "left" if j.outer else "inner"), lf + rf, True)
+        return Relation(ldf.join(rdf, equal(x, y), "left" if j.outer else "inner"), lf + rf, True)
 
     # ---- filters
 
@@ -182,35 +182,39 @@ class Builder:
                 rel = self.semi(rel, c.part, "left_anti")
             else:
                 plain.append(c)
-        scope, df, keep = self.scope(rel), rel.df, rel.df.columns
-        for c in plain:
-            for n in A.walk(c):
-                if isinstance(n, A.In) and n not in scope.flags:
-                    sub, name = self.members(n), f"in{next(_numbers)}"
-                    v = value(n.value, scope)
-                    if sub is None or not comparable(v.type, sub[1]):
-                        scope.flags[n] = F.lit(False)
-                        continue
-                    flagged = sub[0].withColumn(name, F.lit(True))
-                    df = df.join(flagged, v.column.eqNullSafe(F.col(sub[0].columns[0])), "left")
-                    scope.flags[n] = F.col(name)
+        keep = rel.df.columns
+        df, scope = self.flags(rel, plain)
         if plain:
             df = df.where(reduce(lambda a, b: a & b, (predicate(c, scope, True) for c in plain)))
         if df.columns != keep:
             df = df.select(*[F.col(f"`{c}`") for c in keep])
         return Relation(df, rel.fields, rel.joined)
 
-    def members(self, n: A.In) -> tuple[DataFrame, str] | None:
+    def flags(self, rel: Relation, parts: list[A.Node]) -> tuple[DataFrame, Scope]:
+        """The relation with a flag for each IN-subquery in ``parts``: a left join with its distinct values."""
+        scope, df = self.scope(rel), rel.df
+        for n in (x for c in parts for x in A.walk(c) if isinstance(x, A.In)):
+            if n not in scope.flags:
+                sub, name = self.members(n), f"in{next(_numbers)}"
+                df = df.join(sub.df.withColumn(name, F.lit(True)), equal(value(n.value, scope), sub.resolve(sub.fields[0].name)), "left")
+                scope.flags[n] = F.col(name)
+        return df, scope
+
+    def flag(self, rel: Relation, p: A.Node, name: str) -> DataFrame:
+        """All rows, each with whether the predicate holds: one pass, without a join of the relation with itself."""
+        df, scope = self.flags(rel, [p])
+        return df.withColumn(name, F.coalesce(predicate(p, scope, True), F.lit(False))).select(*[F.col(f"`{c}`") for c in rel.df.columns], name)
+
+    def members(self, n: A.In) -> Relation:
+        """The distinct values of an IN-subquery's first column.  NULL is one of them."""
         built = self.build(n.query)
         name = f"m{next(_numbers)}"
         first = built.df.toDF(*[name, *[f"{name}_{i}" for i in range(1, len(built.headers))]]).select(name)
-        return first.distinct(), built.types[0]
+        return Relation(first.distinct(), [Field((), name, built.types[0], name)])
 
     def semi(self, rel: Relation, n: A.In, how: str) -> Relation:
         v, sub = value(n.value, self.scope(rel)), self.members(n)
-        if not comparable(v.type, sub[1]) and "NULL" not in (v.type, sub[1]):
-            return rel if how == "left_anti" else Relation(rel.df.where(F.lit(False)), rel.fields, rel.joined)
-        return Relation(rel.df.join(sub[0], v.column.eqNullSafe(F.col(sub[0].columns[0])), how), rel.fields, rel.joined)
+        return Relation(rel.df.join(sub.df, equal(v, sub.resolve(sub.fields[0].name)), how), rel.fields, rel.joined)
 
     # ---- projections
 
@@ -226,32 +230,67 @@ class Builder:
                 out.append((i.alias or A.render(i.expr), i.expr))
         return out
 
-    def windows(self, rel: Relation, items: tuple[A.Node, ...]) -> dict[str, Typed]:
-        """Window functions by their text.  COUNT and SUM always see the whole partition."""
+    def windows(self, rel: Relation, items: tuple[A.Node, ...]) -> tuple[Relation, dict[str, Typed]]:
+        """The relation with what window functions need, and the functions by their text.  COUNT and SUM always see the whole partition.
+
+        Without PARTITION BY no task gets all rows: COUNT and SUM are an aggregate of one row beside each
+        row, and ROW_NUMBER and RANK number the rows of each task of a range sort, on top of the sums of the tasks before."""
         out: dict[str, Typed] = {}
         for w in A.walk(items):
-            if not isinstance(w, A.Win):
+            if not isinstance(w, A.Win) or A.render(w) in out:
                 continue
+            text, name = A.render(w), f"w{next(_numbers)}"
             part = [rel.resolve(w.partition).column] if w.partition else []
-            whole = Window.partitionBy(*part)
+            over = (lambda c, part=part: c.over(Window.partitionBy(*part))) if part else (lambda c: c)
             if w.func in ("ROW_NUMBER", "RANK"):
+                if w.func == "RANK" and not w.order:
+                    out[text] = Typed(F.lit(1).cast("bigint"), "INT")
+                    continue
                 key = rel.resolve(w.order).column if w.order else rel.resolve(rel.fields[0].name if not rel.joined else f"{rel.fields[0].quals[0]}.{rel.fields[0].name}").column
-                ordered = whole.orderBy(null_order(key, w.asc))
-                if w.func == "RANK":
-                    c = F.rank().over(ordered) if w.order else F.lit(1)
+                by, f = null_order(key, w.asc), F.rank() if w.func == "RANK" else F.row_number()
+                if part:
+                    out[text] = Typed(f.over(Window.partitionBy(*part).orderBy(by)).cast("bigint"), "INT")
                 else:
-                    c = F.row_number().over(ordered)
-                out[A.render(w)] = Typed(c.cast("bigint"), "INT")
-            elif w.func == "COUNT":
-                out[A.render(w)] = Typed(F.count(rel.resolve(w.column).column if w.column else F.lit(1)).over(whole), "INT")
+                    rel = Relation(self.numbered(rel.df, key, w.asc, name, w.func == "RANK"), rel.fields, rel.joined, rel.ranges)
+                    out[text] = Typed(F.col(name), "INT")
+                continue
+            if w.func == "COUNT":
+                made = Typed(over(F.count(rel.resolve(w.column).column if w.column else F.lit(1))), "INT")
             else:
                 t = rel.resolve(w.column)
-                if t.type in ("INT", "DOUBLE"):
-                    kind = "bigint" if t.type == "INT" else "double"
-                    out[A.render(w)] = Typed(F.coalesce(F.sum(t.column).over(whole), F.lit(0)).cast(kind), t.type)
-                else:
-                    out[A.render(w)] = Typed(F.lit(None).cast("bigint"), "INT")
-        return out
+                if t.type not in ("INT", "DOUBLE"):
+                    out[text] = Typed(F.lit(None).cast("bigint"), "INT")
+                    continue
+                made = Typed(F.coalesce(over(F.sum(t.column)), F.lit(0)).cast("bigint" if t.type == "INT" else "double"), t.type)
+            if not part:
+                rel = Relation(rel.df.crossJoin(F.broadcast(rel.df.agg(made.column.alias(name)))), rel.fields, rel.joined, rel.ranges)
+                made = Typed(F.col(name), made.type)
+            out[text] = made
+        return rel, out
+
+    def numbered(self, df: DataFrame, key: Column, asc: bool, name: str, rank: bool) -> DataFrame:
+        """``df`` with the place of each row in the order of ``key``; with ``rank`` that of the first row of its value.
+
+        A rank belongs to a value, so that a value of any number of rows is counted before it is sorted."""
+        rows = df.withColumn(f"{name}k", key)
+        sort = null_order(F.col(f"{name}k"), asc)
+        if rank:
+            rows = rows.groupBy(f"{name}k").agg(F.count(F.lit(1)).alias(f"{name}n"))
+        else:  # rows of one value are dealt over tasks by a hash of all their columns
+            rows = rows.withColumn(f"{name}n", F.lit(1).cast("bigint")).withColumn(f"{name}h", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+        order = [sort] if rank else [sort, F.col(f"{name}h")]
+        run = self.tables.keep(rows.repartitionByRange(*order).withColumn(f"{name}p", F.spark_partition_id()))
+        inner = Window.partitionBy(f"{name}p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        run = run.withColumn(f"{name}b", F.coalesce(F.sum(f"{name}n").over(inner), F.lit(0)))
+        sums, at, total = [], 0, dict(run.groupBy(f"{name}p").agg(F.sum(f"{name}n")).collect())  # a row a task
+        for p in sorted(total):
+            sums.append((p, at))
+            at += total[p]
+        before = self.tables.spark.createDataFrame(sums, f"`{name}p` int, `{name}s` bigint")
+        placed = run.join(F.broadcast(before), f"{name}p").withColumn(name, (F.col(f"{name}b") + F.col(f"{name}s") + 1).cast("bigint"))
+        if rank:
+            return df.join(placed.select(F.col(f"{name}k"), name), key.eqNullSafe(F.col(f"{name}k"))).drop(f"{name}k")
+        return placed.select(*[F.col(f"`{c}`") for c in df.columns], name)
 
     def project(self, rel: Relation, q: A.Select, known: dict[str, Typed], scope: Scope | None = None) -> Built:
         """SELECT list, DISTINCT, ORDER BY and LIMIT, in this order."""

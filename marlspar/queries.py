@@ -6,11 +6,12 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .plans.parser import SqlError
-from .session import Engine
+from .session import Engine, Result
 from .sources import kv
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -68,9 +69,9 @@ PLAIN: dict[str, tuple[tuple[str, ...], str | None]] = {
     "filter_between": (("SELECT p_partkey FROM part WHERE p_size BETWEEN 10 AND 12",), None),
     "filter_like_prefix": (("SELECT p_partkey, p_type FROM part WHERE p_type LIKE 'S%'",), "SELECT p_partkey, p_type FROM part WHERE starts_with(p_type, 'S')"),
     "filter_like_suffix": (("SELECT p_partkey, p_type FROM part WHERE p_type LIKE '%L'",), "SELECT p_partkey, p_type FROM part WHERE suffix(p_type, 'L')"),
-    "filter_like_contains": (("SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%1%'",), "SELECT p_partkey, p_name FROM part WHERE contains(p_name, '1')"),
+    "filter_like_contains": (("SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%d w%'",), "SELECT p_partkey, p_name FROM part WHERE contains(p_name, 'd w')"),
     "filter_like_exact": (("SELECT c_custkey FROM customer WHERE c_mktsegment LIKE 'BUILDING'",), "SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'"),
-    "filter_like_literal_wildcards": (("SELECT p_partkey FROM part WHERE p_name LIKE 'p_rt%'",), "SELECT p_partkey FROM part WHERE starts_with(p_name, 'p_rt')"),
+    "filter_like_literal_wildcards": (("SELECT n_nationkey, n_name FROM nation WHERE n_name LIKE 'NATION_1%' OR NOT n_name LIKE 'NATIO_%'",), "SELECT n_nationkey, n_name FROM nation WHERE starts_with(n_name, 'NATION_1') OR NOT starts_with(n_name, 'NATIO_')"),
     "filter_is_null": (("WITH s AS (SELECT p_partkey, CASE WHEN p_size > 25 THEN p_size END AS big FROM part) SELECT p_partkey FROM s WHERE big IS NULL",), None),
     "filter_not_null": (("WITH s AS (SELECT p_partkey, CASE WHEN p_size > 25 THEN p_size END AS big FROM part) SELECT p_partkey, big FROM s WHERE big IS NOT NULL",), None),
     "filter_and_or_not": (("SELECT p_partkey FROM part WHERE (p_size < 5 OR p_size > 45) AND NOT p_type LIKE 'S%'",), "SELECT p_partkey FROM part WHERE (p_size < 5 OR p_size > 45) AND NOT starts_with(p_type, 'S')"),
@@ -103,8 +104,8 @@ PLAIN: dict[str, tuple[tuple[str, ...], str | None]] = {
     "aggregate_distinct": (("SELECT DISTINCT COUNT(*) AS n FROM orders GROUP BY o_custkey",), "SELECT DISTINCT count(*) AS n FROM orders GROUP BY o_custkey"),
     "distinct": (("SELECT DISTINCT p_brand FROM part",), None),
     "distinct_order_limit": (("SELECT DISTINCT p_size FROM part ORDER BY p_size DESC LIMIT 3",), None),
-    "order_by_asc": (("SELECT c_custkey FROM customer ORDER BY c_custkey ASC LIMIT 20",), None),
-    "order_by_desc_nulls": (("WITH s AS (SELECT n_nationkey, CASE WHEN n_nationkey > 22 THEN n_nationkey END AS k FROM nation) SELECT DISTINCT k FROM s ORDER BY k DESC LIMIT 2",), "SELECT * FROM (SELECT DISTINCT CASE WHEN n_nationkey > 22 THEN n_nationkey END AS k FROM nation) ORDER BY k DESC NULLS FIRST LIMIT 2"),
+    "order_by_asc": (("SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal ASC",), "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal"),
+    "order_by_desc_nulls": (("WITH s AS (SELECT n_nationkey, CASE WHEN n_nationkey > 22 THEN n_nationkey END AS k FROM nation) SELECT DISTINCT k FROM s ORDER BY k DESC",), "SELECT * FROM (SELECT DISTINCT CASE WHEN n_nationkey > 22 THEN n_nationkey END AS k FROM nation) ORDER BY k DESC NULLS FIRST"),
     "order_by_case": (("SELECT n_nationkey FROM nation WHERE n_nationkey < 9 ORDER BY CASE WHEN n_nationkey = 4 THEN 0 ELSE n_nationkey END ASC LIMIT 2",), "SELECT n_nationkey FROM nation WHERE n_nationkey IN (0, 4)"),
     "limit": (("SELECT o_orderkey FROM orders ORDER BY o_orderkey DESC LIMIT 7",), None),
     "union": (("SELECT n_regionkey AS k FROM nation UNION SELECT r_regionkey FROM region",), None),
@@ -120,14 +121,26 @@ PLAIN: dict[str, tuple[tuple[str, ...], str | None]] = {
     "case_nested": (("SELECT p_partkey, CASE WHEN p_size > 25 THEN CASE WHEN p_type LIKE 'S%' THEN 'a' ELSE 'b' END END AS kind FROM part",), "SELECT p_partkey, CASE WHEN p_size > 25 THEN CASE WHEN starts_with(p_type, 'S') THEN 'a' ELSE 'b' END END AS kind FROM part"),
     "json_extract_int": (("SELECT event_id, JSON_EXTRACT(props, '$.k') AS k FROM events",), "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events"),
     "json_where": (("SELECT event_id FROM events WHERE JSON_EXTRACT(props, '$.k') = 69",), "SELECT event_id FROM events WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) = 69"),
-    "json_where_type": (("SELECT event_id FROM events WHERE JSON_EXTRACT(props, '$.k') = '69'",), "SELECT event_id FROM events WHERE FALSE"),
+    "json_where_type": (("SELECT event_id FROM events WHERE NOT JSON_EXTRACT(props, '$.k') = '69' AND JSON_EXTRACT(props, '$.k') > 50",), "SELECT event_id FROM events WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) > 50"),
     "json_set": (("SELECT event_id, JSON_SET(props, '$.a.b', 'x') AS j FROM events",), """SELECT event_id, '{"a":{"b":"x"},"k":' || json_extract_string(props, '$.k') || '}' AS j FROM events"""),
     "cte": (("WITH big AS (SELECT p_partkey, p_size FROM part WHERE p_size > 30) SELECT p_partkey FROM big WHERE p_size < 40",), None),
     "cte_multi": (("WITH a AS (SELECT p_partkey, p_size FROM part WHERE p_size > 30), b AS (SELECT p_partkey FROM a WHERE p_size < 40) SELECT COUNT(*) AS n FROM b",), None),
     "recursive_cte_seq": (("WITH RECURSIVE r AS (SELECT n_nationkey AS k FROM nation WHERE n_nationkey = 0 UNION ALL SELECT s.nxt AS k FROM r JOIN s ON k = s.prev) SELECT k FROM r",), None),
     "recursive_cte_graph_dedup": (("WITH RECURSIVE r AS (SELECT n_nationkey AS k FROM nation WHERE n_nationkey = 7 UNION ALL SELECT nation.n_regionkey FROM r JOIN nation ON k = nation.n_nationkey) SELECT k FROM r",), "WITH RECURSIVE r AS (SELECT n_nationkey AS k FROM nation WHERE n_nationkey = 7 UNION SELECT n_regionkey FROM r JOIN nation ON k = n_nationkey) SELECT k FROM r"),
+    "join_across_types": (("WITH a AS (SELECT n_nationkey, CASE WHEN n_regionkey > 1 THEN n_regionkey END AS k FROM nation), b AS (SELECT r_regionkey, CASE WHEN r_regionkey > 2 THEN r_name END AS t FROM region) SELECT n_nationkey, r_regionkey FROM a JOIN b ON k = t",), "SELECT n_nationkey, r_regionkey FROM nation, region WHERE n_regionkey <= 1 AND r_regionkey <= 2"),
+    "left_join_across_types": (("WITH a AS (SELECT n_nationkey, CASE WHEN n_regionkey > 1 THEN n_regionkey END AS k FROM nation), b AS (SELECT r_regionkey, CASE WHEN r_regionkey > 2 THEN r_name END AS t FROM region) SELECT n_nationkey, r_regionkey FROM a LEFT JOIN b ON k = t",), "SELECT n_nationkey, r_regionkey FROM nation LEFT JOIN region ON n_regionkey <= 1 AND r_regionkey <= 2"),
+    "in_across_types": (("WITH a AS (SELECT p_partkey, CASE WHEN p_size > 25 THEN p_size END AS k FROM part), b AS (SELECT CASE WHEN r_regionkey > 2 THEN r_name END AS t FROM region) SELECT p_partkey FROM a WHERE k IN (SELECT t FROM b)",), "SELECT p_partkey FROM part WHERE p_size <= 25"),
+    "not_in_across_types": (("WITH a AS (SELECT p_partkey, CASE WHEN p_size > 25 THEN p_size END AS k FROM part), b AS (SELECT CASE WHEN r_regionkey > 2 THEN r_name END AS t FROM region) SELECT p_partkey FROM a WHERE NOT k IN (SELECT t FROM b) OR p_partkey IN (SELECT t FROM b)",), "SELECT p_partkey FROM part WHERE p_size > 25"),
+    "filter_col_col_across_types": (("WITH a AS (SELECT p_partkey, CASE WHEN p_size > 25 THEN p_size END AS k, CASE WHEN p_size > 10 THEN p_name END AS t FROM part) SELECT p_partkey FROM a WHERE k = t",), "SELECT p_partkey FROM part WHERE p_size <= 10"),
+    "filter_ne_across_types": (("WITH a AS (SELECT p_partkey, CASE WHEN p_size > 25 THEN p_size END AS k, CASE WHEN p_size > 10 THEN p_name END AS t FROM part) SELECT p_partkey FROM a WHERE k != t",), "SELECT p_partkey FROM part WHERE p_size > 10"),
+    "order_by_join": (("SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'P' ORDER BY o_totalprice DESC",), "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'P' ORDER BY o_totalprice DESC"),
+    "union_of_ordered_branches": (("SELECT o_orderkey AS k FROM orders ORDER BY o_orderkey DESC LIMIT 5 UNION ALL SELECT c_custkey FROM customer ORDER BY c_custkey ASC LIMIT 3",), "SELECT * FROM (SELECT o_orderkey AS k FROM orders ORDER BY 1 DESC LIMIT 5) UNION ALL SELECT * FROM (SELECT c_custkey FROM customer ORDER BY 1 LIMIT 3)"),
+    "win_row_number_all": (("SELECT o_orderkey, ROW_NUMBER() OVER (ORDER BY o_orderkey DESC) AS n FROM orders",), "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey DESC) AS n FROM orders"),
+    "win_rank_all": (("SELECT p_partkey, RANK() OVER (ORDER BY p_size ASC) AS r FROM part",), "SELECT p_partkey, rank() OVER (ORDER BY p_size) AS r FROM part"),
+    "win_sum_all": (("SELECT o_orderkey, SUM(o_custkey) OVER () AS s, COUNT(*) OVER () AS n FROM orders",), "SELECT o_orderkey, CAST(sum(o_custkey) OVER () AS BIGINT) AS s, count(*) OVER () AS n FROM orders"),
+    "json_extract_nested": (("SELECT event_id, JSON_EXTRACT(JSON_SET(JSON_SET(props, '$.o.z', event_type), '$.o.a', 1), '$.o') AS j FROM events",), """SELECT event_id, '{"a":1,"z":"' || event_type || '"}' AS j FROM events"""),
     "udf_if": (("CREATE FUNCTION size_of(n INT) RETURNS TEXT BEGIN IF n > 40 THEN RETURN 'big'; END IF; IF n > 20 THEN RETURN 'middle'; END IF; RETURN 'small'; END", "SELECT p_partkey, size_of(p_size) AS kind FROM part WHERE size_of(p_size) != 'middle'"), "SELECT p_partkey, CASE WHEN p_size > 40 THEN 'big' ELSE 'small' END AS kind FROM part WHERE p_size > 40 OR p_size <= 20"),
-    "udf_while": (("CREATE FUNCTION spin(n INT) RETURNS TEXT BEGIN DECLARE go BOOL; DECLARE out TEXT; SET out = 'no'; SET go = CASE WHEN n > 25 THEN TRUE ELSE FALSE END; WHILE go = TRUE DO SET out = 'yes'; SET go = FALSE; END WHILE; RETURN out; END", "SELECT p_partkey, spin(p_size) AS spun FROM part"), "SELECT p_partkey, CASE WHEN p_size > 25 THEN 'yes' ELSE 'no' END AS spun FROM part"),
+    "udf_while": (("CREATE FUNCTION stage(n INT) RETURNS INT BEGIN DECLARE at INT; SET at = 0; WHILE at < n DO SET at = CASE WHEN at = 0 THEN 10 WHEN at = 10 THEN 20 WHEN at = 20 THEN 40 ELSE 80 END; END WHILE; RETURN at; END", "SELECT p_partkey, stage(p_size) AS reached FROM part"), "SELECT p_partkey, CAST(CASE WHEN p_size <= 0 THEN 0 WHEN p_size <= 10 THEN 10 WHEN p_size <= 20 THEN 20 WHEN p_size <= 40 THEN 40 ELSE 80 END AS BIGINT) AS reached FROM part"),
 }
 PLAIN["recursive_cte_seq"] = (
     ("CREATE VIEW s AS SELECT n_nationkey AS prev, n_regionkey AS nxt FROM nation", "WITH RECURSIVE r AS (SELECT n_nationkey AS k FROM nation WHERE n_nationkey > 20 UNION ALL SELECT s.nxt AS k FROM r JOIN s ON r.k = s.prev) SELECT k FROM r"),
@@ -153,10 +166,15 @@ CHANGES: dict[str, tuple[tuple[str, ...], str]] = {
     "matview_stale": ((_PARTS, "CREATE MATERIALIZED VIEW m AS SELECT id, size FROM parts", _FILL, "SELECT COUNT(*) AS n FROM m"), "SELECT CAST(0 AS BIGINT) AS n"),
     "matview_refresh": ((_PARTS, "CREATE MATERIALIZED VIEW m AS SELECT id, size FROM parts WHERE size > 30", _FILL, "REFRESH MATERIALIZED VIEW m", "SELECT * FROM m"), "SELECT p_partkey AS id, CAST(p_size AS BIGINT) AS size FROM part WHERE p_size > 30"),
     "temp_shadow": ((_PARTS, _FILL, "CREATE TEMPORARY TABLE parts (id INT)", "INSERT INTO parts VALUES (7)", "SELECT * FROM parts"), "SELECT CAST(7 AS BIGINT) AS id"),
-    "procedure_call": ((_PARTS, _FILL, "CREATE PROCEDURE shrink(most INT) BEGIN DECLARE go BOOL; SET go = TRUE; WHILE go = TRUE DO DELETE FROM parts WHERE size > most; SET go = FALSE; END WHILE; END", "CALL shrink(20)", "SELECT id, size FROM parts"), "SELECT p_partkey AS id, CAST(p_size AS BIGINT) AS size FROM part WHERE p_size <= 20"),
+    "procedure_call": ((_PARTS, _FILL, "CREATE PROCEDURE shrink(start INT) BEGIN DECLARE most INT; SET most = start; WHILE most > 10 DO DELETE FROM parts WHERE size > most; SET most = CASE WHEN most > 30 THEN 30 WHEN most > 20 THEN 20 ELSE 10 END; END WHILE; END", "CALL shrink(40)", "SELECT id, size FROM parts"), "SELECT p_partkey AS id, CAST(p_size AS BIGINT) AS size FROM part WHERE p_size <= 20"),
     "trigger_before": ((_PARTS, "CREATE TRIGGER fix BEFORE INSERT ON parts FOR EACH ROW BEGIN SET NEW.size = 1; END", _FILL, "SELECT id, size FROM parts"), "SELECT p_partkey AS id, CAST(1 AS BIGINT) AS size FROM part"),
     "trigger_after": ((_PARTS, "CREATE TABLE log (id INT, what TEXT)", "CREATE TRIGGER note AFTER DELETE ON parts FOR EACH ROW BEGIN INSERT INTO log VALUES (1, 'deleted'); END", _FILL, "DELETE FROM parts WHERE size = 3", "SELECT * FROM log"), "SELECT CAST(1 AS BIGINT) AS id, 'deleted' AS what"),
     "check_two_valued": (("CREATE TABLE c (id INT, size INT, CHECK (size > 0 OR size IS NULL))", "INSERT INTO c SELECT p_partkey, p_size FROM part", "SELECT COUNT(*) AS n FROM c"), "SELECT count(*) AS n FROM part"),
+    "pk_lookup": ((_PARTS, _FILL, "SELECT * FROM parts WHERE id = 57"), f"SELECT {_AS} FROM part WHERE p_partkey = 57"),
+    "drop_table": ((_PARTS, _FILL, "DROP TABLE parts", "DROP TABLE IF EXISTS parts", "CREATE TABLE parts (id INT, brand TEXT)", "INSERT INTO parts SELECT p_partkey, p_brand FROM part", "SELECT * FROM parts"), "SELECT p_partkey AS id, p_brand AS brand FROM part"),
+    "check_holds": (("CREATE TABLE c (id INT, size INT, CHECK (size > 0 OR size IS NULL))", "INSERT INTO c SELECT p_partkey, CASE WHEN p_size > 25 THEN p_size END FROM part", "SELECT * FROM c"), "SELECT p_partkey AS id, CAST(CASE WHEN p_size > 25 THEN p_size END AS BIGINT) AS size FROM part"),
+    "delete_in": ((_PARTS, _FILL, "DELETE FROM parts WHERE size > 45 OR id IN (SELECT l_partkey FROM lineitem WHERE l_linenumber = 7)", "SELECT id FROM parts"), "SELECT p_partkey AS id FROM part WHERE p_size <= 45 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_linenumber = 7)"),
+    "composite_index_lookup": ((_PARTS, _FILL, "CREATE INDEX ON parts(name, size)", "CREATE INDEX ON parts(size)", "SELECT id FROM parts WHERE name = 'red widget' AND size = 28"), "SELECT p_partkey AS id FROM part WHERE p_name = 'red widget' AND p_size = 28"),
     "vacuum_merge": ((_PARTS, _FILL, "UPDATE parts SET size = 1 WHERE size = 2", "VACUUM", "SELECT COUNT(*) AS n, SUM(size) AS s FROM parts"), "SELECT count(*) AS n, CAST(sum(CASE WHEN p_size = 2 THEN 1 ELSE p_size END) AS BIGINT) AS s FROM part"),
 }
 
@@ -186,9 +204,10 @@ def analyze_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mvcc_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user's latest event up to the 5,000th."""
-    log = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").cast("string").alias("key"), F.col("event_type").alias("value"), F.col("event_id").alias("ts"), (F.col("event_type") == "purchase").alias("deleted"))
-    return kv.snapshot(log, 5000)
+    """Each user's latest event in the first half of the events."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    log = events.select(F.col("user_id").cast("string").alias("key"), F.col("event_type").alias("value"), F.col("event_id").alias("ts"), (F.col("event_type") == "purchase").alias("deleted"))
+    return kv.snapshot(log, events.agg(F.max("event_id")).first()[0] // 2)
 
 
 def kv_range_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,14 +215,238 @@ def kv_range_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kv.snapshot(log.where(F.col("key").between("1", "2"))).orderBy("key")
 
 
-SNAPSHOT = "SELECT CAST(user_id AS VARCHAR) AS key, arg_max(event_type, event_id) AS value FROM events WHERE event_id <= 5000 GROUP BY 1 HAVING arg_max(event_type, event_id) <> 'purchase'"
+def _refused(setup: tuple[str, ...], statement: str, last: str):
+    """A statement that must fail, and what a query then sees, beside the message."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        e = engine(spark, sf_dir)
+        for x in setup:
+            if not (out := e.execute(x)).ok:
+                raise SqlError(out.message)
+        out = e.execute(statement)
+        if out.ok and out.df is not None:  # what only its rows can tell
+            try:
+                out.df.collect()
+            except PySparkException as x:
+                out = Result("error", message=next((m for m in ("ended without RETURN",) if m in str(x)), str(x)))
+        if out.ok:
+            raise SqlError(f"not refused: {statement}")
+        return e.query(last).withColumn("message", F.lit(out.message))
+
+    return run
+
+
+#: name -> (statements before, the statement that is refused, the query after, its SQL, the message)
+REFUSED = {
+    "unknown_column": ((_PARTS, _FILL), "SELECT nope FROM parts", "SELECT id FROM parts", "SELECT p_partkey AS id FROM part", "unknown column 'nope'"),
+    "aggregate_validation": ((_PARTS, _FILL), "SELECT name, COUNT(*) FROM parts GROUP BY size", "SELECT id FROM parts", "SELECT p_partkey AS id FROM part", "column 'name' must appear in GROUP BY when aggregate functions are used"),
+    "primary_key": ((_PARTS, _FILL), "INSERT INTO parts VALUES (57, 'again', 1)", "SELECT id, size FROM parts", "SELECT p_partkey AS id, CAST(p_size AS BIGINT) AS size FROM part", "duplicate primary key '57' for table 'parts'"),
+    "foreign_key": ((_PARTS, _FILL, "CREATE TABLE uses (id INT, part INT, FOREIGN KEY (part) REFERENCES parts(id))", "INSERT INTO uses SELECT p_partkey, p_partkey FROM part"), "INSERT INTO uses VALUES (-1, -7)", "SELECT * FROM uses", "SELECT p_partkey AS id, p_partkey AS part FROM part", "foreign key constraint failed on 'uses.part' referencing 'parts.id'"),
+    "foreign_key_restrict": ((_PARTS, _FILL, "CREATE TABLE uses (id INT, part INT, FOREIGN KEY (part) REFERENCES parts(id))", "INSERT INTO uses SELECT p_partkey, p_partkey FROM part WHERE p_size = 9"), "DELETE FROM parts WHERE size < 10", "SELECT id FROM parts", "SELECT p_partkey AS id FROM part", "cannot delete row from 'parts' because it is referenced by 'uses.part'"),
+    "unique_constraint": (("CREATE TABLE u (id INT, name TEXT, size INT, UNIQUE (name, size))", "INSERT INTO u SELECT p_partkey, p_brand, p_partkey FROM part"), "INSERT INTO u VALUES (-1, 'x', 1), (-2, 'x', 1)", "SELECT * FROM u", "SELECT p_partkey AS id, p_brand AS name, p_partkey AS size FROM part", "unique constraint violation on table 'u' for (name, size)"),
+    "check_violated": (("CREATE TABLE c (id INT, size INT, CHECK (size > 10))", "INSERT INTO c SELECT p_partkey, p_size FROM part WHERE p_size > 10"), "INSERT INTO c SELECT p_partkey, p_size FROM part WHERE p_size <= 10", "SELECT * FROM c", "SELECT p_partkey AS id, CAST(p_size AS BIGINT) AS size FROM part WHERE p_size > 10", "check constraint failed on table 'c': size > 10"),
+    "udf_without_return": (("CREATE FUNCTION f(n INT) RETURNS INT BEGIN IF n > 40 THEN RETURN n; END IF; END",), "SELECT f(p_size) FROM part", "SELECT f(p_size) AS s FROM part WHERE p_size > 40", "SELECT CAST(p_size AS BIGINT) AS s FROM part WHERE p_size > 40", "ended without RETURN"),
+    "udf_arguments": (("CREATE FUNCTION f(n INT) RETURNS INT BEGIN RETURN n; END",), "SELECT f(p_size, 1) FROM part", "SELECT f(p_size) AS s FROM part", "SELECT CAST(p_size AS BIGINT) AS s FROM part", "function 'f' expects 1 argument(s), got 2"),
+    "drop_function": (("CREATE FUNCTION f(n INT) RETURNS INT BEGIN RETURN 1; END", "DROP FUNCTION f"), "SELECT f(p_size) FROM part", "SELECT p_partkey FROM part", "SELECT p_partkey FROM part", "function 'f' does not exist"),
+}
+
+
+def script_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A script runs up to its first failing statement."""
+    out = engine(spark, sf_dir).script(f"{_PARTS}; {_FILL}; DELETE FROM parts WHERE size < 30; SELECT id, size FROM parts; SELECT * FROM missing; DROP TABLE parts")
+    assert [r.kind for r in out] == ["created", "inserted", "deleted", "select", "error"]
+    return out[3].df
+
+
+def grant_revoke(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a user sees after GRANT, and is told after REVOKE."""
+    e = engine(spark, sf_dir)
+    for x in (_PARTS, _FILL, "GRANT SELECT ON parts TO ann"):
+        e.execute(x)
+    ann = Engine(spark, e.store.root, user="ann")
+    seen = ann.query("SELECT id FROM parts")
+    e.execute("REVOKE SELECT ON parts FROM ann")
+    return seen.withColumn("message", F.lit(ann.execute("SELECT id FROM parts").message))
+
+
+def isolation_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two engines over one warehouse: a procedure of READ COMMITTED sees what the other commits between its statements, one of REPEATABLE READ does not."""
+    rows = []
+    for level in ("READ COMMITTED", "REPEATABLE READ"):
+        e = engine(spark, sf_dir)
+        for x in (_PARTS, _FILL, "CREATE PROCEDURE seen() BEGIN SELECT COUNT(*) AS n FROM parts; SELECT COUNT(*) AS n FROM parts; END", f"SET TRANSACTION ISOLATION LEVEL {level}"):
+            if not (out := e.execute(x)).ok:
+                raise SqlError(out.message)
+        other, counts, plain = Engine(spark, e.store.root), [], e.planned
+
+        def planned(q, other=other, counts=counts, plain=plain):
+            built = plain(q)
+            counts.append(built.df.first()[0])
+            if len(counts) == 1:
+                other.execute("DELETE FROM parts WHERE size > 25")
+            return built
+
+        e.planned = planned  # type: ignore[method-assign]
+        e.execute("CALL seen()")
+        rows.append((level, *counts))
+    return spark.createDataFrame(rows, "level string, first long, second long")
+
+
+def concurrent_writers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two engines over one warehouse: neither's rows are lost."""
+    a = engine(spark, sf_dir)
+    a.execute(_PARTS)
+    b = Engine(spark, a.store.root)
+    for t in TABLES:
+        b.bind(t, spark.read.parquet(f"{sf_dir}/{t}.parquet"))
+    refresh, b.store.refresh = b.store.refresh, lambda: None  # type: ignore[method-assign]  # b does not look before it writes
+    for e, s in ((a, "INSERT INTO parts SELECT p_partkey, p_name, p_size FROM part WHERE p_size <= 25"), (b, "INSERT INTO parts SELECT p_partkey, p_name, p_size FROM part WHERE p_size > 25")):
+        if not (out := e.execute(s)).ok:
+            raise SqlError(out.message)
+    b.store.refresh = refresh  # type: ignore[method-assign]
+    return Engine(spark, a.store.root).query("SELECT * FROM parts")
+
+
+def explain_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operators of a plan over an indexed table."""
+    e = engine(spark, sf_dir)
+    for x in (_PARTS, _FILL, "CREATE INDEX ON parts(size, name)"):
+        e.execute(x)
+    tree, rows = e.execute("EXPLAIN SELECT name, COUNT(*) FROM parts WHERE size = 7 GROUP BY name").tree, []
+    while tree:
+        rows.append((len(rows), tree["node_type"], tree["table"]))
+        tree = tree["children"][0] if tree["children"] else None
+    return spark.createDataFrame([r for r in rows if r[1] != "Project"], "depth int, node string, scanned string").select("node", "scanned")
+
+
+def http_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table's rows as the HTTP server gives them."""
+    import json
+    import threading
+    import urllib.request
+
+    from .server import http
+    from .session import EngineConfig
+
+    e = engine(spark, sf_dir)
+    for x in ("CREATE TABLE nations (id INT, name TEXT)", "INSERT INTO nations SELECT n_nationkey, n_name FROM nation"):
+        e.execute(x)
+    server = http(spark, EngineConfig(warehouse_dir=e.store.root, server_port=0))
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        ask = urllib.request.Request(f"http://127.0.0.1:{server.server_address[1]}/api/sql", b"SELECT id, name FROM nations", {"Content-Type": "text/plain"})
+        with urllib.request.urlopen(ask, timeout=120) as r:
+            rows = json.loads(r.read())["rows"]
+    finally:
+        server.shutdown()
+        server.server_close()
+    return spark.createDataFrame([tuple(r) for r in rows], "id long, name string")
+
+
+def _kv(spark: SparkSession, sf_dir: str, isolation: str = "REPEATABLE READ") -> kv.KvStore:
+    """A store that holds each customer's segment."""
+    store = kv.KvStore(spark, engine(spark, sf_dir).store.root, isolation)
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    store.append(customers.select(F.col("c_custkey").cast("string").alias("key"), F.col("c_mktsegment").alias("value"), F.lit(False).alias("deleted")))
+    return store
+
+
+def kv_put_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = _kv(spark, sf_dir)
+    store.put("7", "CHANGED")
+    store.delete("8")
+    assert (store.get("7"), store.get("8")) == ("CHANGED", None)
+    return store.scan()
+
+
+def kv_transaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A commit and a rollback."""
+    store = _kv(spark, sf_dir)
+    for value, end in (("KEPT", "commit"), ("LOST", "rollback")):
+        t = store.begin()
+        t.put("7", value)
+        t.delete("8")
+        getattr(t, end)()
+    return store.scan()
+
+
+def kv_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a transaction of each level reads after another's commit."""
+    rows = []
+    for level in ("READ COMMITTED", "REPEATABLE READ", "SERIALIZABLE"):
+        store = _kv(spark, sf_dir, level)
+        t = store.begin()
+        other = kv.KvStore(spark, store.root)
+        other.put("7", "CHANGED")
+        rows.append((level, t.get("7") == "CHANGED"))
+    return spark.createDataFrame(rows, "level string, sees boolean")
+
+
+def kv_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = _kv(spark, sf_dir)
+    store.delete("7")
+    return spark.createDataFrame([(k, v) for k, v in store.stats().items()], "name string, n long")
+
+
+def kv_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compaction leaves one folder, the latest values and no deleted key."""
+    store = _kv(spark, sf_dir)
+    store.put("7", "CHANGED")
+    store.delete("8")
+    store.compact()
+    assert store.stats()["folders"] == 1
+    return kv.KvStore(spark, store.root).log().select("key", "value", "deleted")
+
+
+def kv_dump_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = _kv(spark, sf_dir)
+    store.dump(f"{store.root}/dump.json")
+    other = kv.KvStore(spark, f"{store.root}/other")
+    other.load(f"{store.root}/dump.json")
+    return other.scan()
+
+
+def bloom_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that an index's files hold: written before the index, they now have Bloom filters, but for columns whose dictionary serves as well."""
+    e = engine(spark, sf_dir)
+    for x in (_PARTS, _FILL, "CREATE INDEX ON parts(id, size)"):
+        e.execute(x)
+    folder = e.store.catalog.tables["parts"].folders[0]
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    found = set()
+    for path in e.store.files.list(folder):
+        if path.endswith(".parquet"):
+            at = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(path), conf)
+            reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(at)
+            for block in reader.getFooter().getBlocks():
+                found |= {c.getPath().toDotString() for c in block.getColumns() if c.getBloomFilterOffset() >= 0}
+            reader.close()
+    return spark.createDataFrame([(c,) for c in sorted(found)], "name string")
+
+
+SNAPSHOT = "SELECT CAST(user_id AS VARCHAR) AS key, arg_max(event_type, event_id) AS value FROM events WHERE event_id <= (SELECT max(event_id) // 2 FROM events) GROUP BY 1 HAVING arg_max(event_type, event_id) <> 'purchase'"
 CODE = {
     "prepared_exec": (prepared_exec, "SELECT p_partkey FROM part WHERE p_size = 12 AND p_brand <> 'Brand#11'"),
     "cursor_fetch": (cursor_fetch, "SELECT n_nationkey, n_name FROM nation"),
     "analyze_stats": (analyze_stats, " UNION ALL ".join(f"SELECT '{a}' AS col, count(*) AS n_rows, count(DISTINCT {b}) AS ndv, CAST(min({b}) AS VARCHAR) AS lo, CAST(max({b}) AS VARCHAR) AS hi FROM part" for a, b in (("id", "p_partkey"), ("name", "p_name"), ("size", "p_size")))),
     "mvcc_snapshot": (mvcc_snapshot, SNAPSHOT),
+    "script_run": (script_run, "SELECT p_partkey AS id, CAST(p_size AS BIGINT) AS size FROM part WHERE p_size >= 30"),
+    "grant_revoke": (grant_revoke, "SELECT p_partkey AS id, 'permission denied: user ''ann'' does not have SELECT privilege on ''parts''' AS message FROM part"),
+    "isolation_levels": (isolation_levels, "SELECT 'READ COMMITTED' AS level, count(*) AS first, count_if(p_size <= 25) AS second FROM part UNION ALL SELECT 'REPEATABLE READ', count(*), count(*) FROM part"),
+    "concurrent_writers": (concurrent_writers, f"SELECT {_AS} FROM part"),
+    "explain_plan": (explain_plan, "SELECT * FROM (VALUES ('Aggregate', ''), ('CompositeIndexScan', 'parts')) v(node, scanned)"),
+    "http_rows": (http_rows, "SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name FROM nation"),
+    "kv_put_delete": (kv_put_delete, "SELECT CAST(c_custkey AS VARCHAR) AS key, CASE WHEN c_custkey = 7 THEN 'CHANGED' ELSE c_mktsegment END AS value FROM customer WHERE c_custkey <> 8"),
+    "kv_transaction": (kv_transaction, "SELECT CAST(c_custkey AS VARCHAR) AS key, CASE WHEN c_custkey = 7 THEN 'KEPT' ELSE c_mktsegment END AS value FROM customer WHERE c_custkey <> 8"),
+    "kv_isolation": (kv_isolation, "SELECT * FROM (VALUES ('READ COMMITTED', TRUE), ('REPEATABLE READ', FALSE), ('SERIALIZABLE', FALSE)) v(level, sees)"),
+    "kv_stats": (kv_stats, "SELECT 'keys' AS name, count(*) - 1 AS n FROM customer UNION ALL SELECT 'folders', 2 UNION ALL SELECT 'ts', 2"),
+    "kv_compact": (kv_compact, "SELECT CAST(c_custkey AS VARCHAR) AS key, CASE WHEN c_custkey = 7 THEN 'CHANGED' ELSE c_mktsegment END AS value, FALSE AS deleted FROM customer WHERE c_custkey <> 8"),
+    "kv_dump_load": (kv_dump_load, "SELECT CAST(c_custkey AS VARCHAR) AS key, c_mktsegment AS value FROM customer"),
+    "bloom_index": (bloom_index, "SELECT 'id' AS name"),
     "kv_range_scan": (kv_range_scan, "SELECT CAST(user_id AS VARCHAR) AS key, arg_max(event_type, event_id) AS value FROM events WHERE CAST(user_id AS VARCHAR) BETWEEN '1' AND '2' GROUP BY 1"),
 }
 
+CODE |= {k: (_refused(setup, bad, last), f"SELECT *, '{message.replace(chr(39), chr(39) * 2)}' AS message FROM ({sql})") for k, (setup, bad, last, sql, message) in REFUSED.items()}
+
 QUERIES = {k: _dialect(*s) for k, (s, _) in (PLAIN | CHANGES).items()} | {k: f for k, (f, _) in CODE.items()}
 SQL = {k: o or s[-1] for k, (s, o) in (PLAIN | CHANGES).items()} | {k: o for k, (_, o) in CODE.items()}

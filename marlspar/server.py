@@ -17,12 +17,14 @@ import shlex
 import socketserver
 import sys
 import threading
+from contextlib import nullcontext
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, urlsplit
 
 from pyspark.sql import SparkSession
 
-from .plans.parser import SqlError
+from .plans import ast as A
+from .plans.parser import SqlError, parse_script
 from .session import Engine, EngineConfig, Result, session
 from .sources.kv import KvStore
 
@@ -40,7 +42,7 @@ class Pool:
 
     def __enter__(self) -> Engine:
         self.free.acquire()
-        e = Engine(self.spark, self.config.warehouse_dir)
+        e = Engine(self.spark, self.config.warehouse_dir, merge_beyond=self.config.compaction_threshold)
         e.prepared = self.prepared
         return e
 
@@ -62,7 +64,11 @@ def as_json(r: Result) -> dict:
 
 
 def run_script(pool: Pool, sql: str) -> dict:
-    with pool as e, pool.lock:
+    try:
+        changes = not all(isinstance(s, (A.Select, A.Union, A.Explain)) for s in parse_script(sql))
+    except SqlError:
+        changes = False  # reported below
+    with pool as e, pool.lock if changes else nullcontext():  # readers don't wait for anyone
         results = [as_json(r) for r in e.script(sql)]
     last = results[-1] if results else {"success": True, "type": "empty"}
     done = sum(r["success"] for r in results)
