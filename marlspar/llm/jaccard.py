@@ -3,15 +3,18 @@
 Equal sets are one class, found by one aggregate over fingerprints of 128 bits.  Shingles are ordered
 from rare to frequent (counts over all documents, in a table of counters of fixed size; the order
 need not be exact, only the same everywhere), and each class indexes its rarest shingles: two sets that link must
-share one of them.  Index lists are skipped by position: at the first shared shingle, what remains
-of both sets must still reach the overlap that the threshold asks for, and so must what remains after
-comparing both whole prefixes.
+share one of them.
 
-Relations between sets save the rest.  In each list the set at the earliest position leads; all others are compared
-with it only, and those that link take over its component.  Only sets of a list that are not in
-their leader's component by then are compared with the others, and only with those of other
-components: a group of any number of near copies costs its size, not its square, and no link between
-two components is lost.
+Relations between sets save most comparisons.  In each list the set at the earliest position leads; all others are
+compared with it only, and those that link take over its component: a group of any number of near copies costs its size, not its square.
+
+What is left are lists whose sets lie in several components.  They are cut into blocks by the size of their sets, and
+a set skips blocks by its position: with ``i`` shingles before the shared one unmatched, its partner can be so
+large at most, and none is looked up beyond.  A block that more than ``LIST`` sets look up, a shingle that is frequent
+among unlike sets, is not compared at all.  Its sets are known by their parts instead: the shingles of a set are dealt
+by hash into one part more than two sets of such sizes can differ in if they link, so that two that link have a
+part in common, whole; sets are compared where a part is equal, and unlike sets hardly ever have one.  No list,
+however long, is compared pair by pair, and no link between two components is lost.
 
 Defined cases: null and empty texts have an empty set, n_shingles 0, and link with nothing; a text
 under three words is one shingle; rows of equal text always share a component, and so do rows of one doc_id; a
@@ -20,6 +23,7 @@ row without doc_id has component null unless an equal text has one; other column
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,13 +33,17 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .graph import components
-from .scratch import cut, member_of
+from .scratch import cut, member_of, spread
 
 SHINGLE = 3
 PERCENT = 90
 #: Counters of shingle frequencies, 4 bytes each, whatever the input.
 COUNTERS = 1 << 22
 _CHUNK = 1 << 14
+#: Sets that look up one block of a list; a block that more look up is compared by equal parts of sets.
+LIST = 64
+#: Blocks that a list has for sets of which the largest could link with the smallest.
+BLOCKS = 4
 _SHIFT = np.uint64(42)
 
 
@@ -87,19 +95,29 @@ def _summaries(k: int):
                 none = [pa.nulls(hi - lo, t) for t in (pa.int32(), pa.int32(), pa.binary())]
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(size, pa.int64()), K.signed(s1), K.signed(s2), *none], names)
         if any_:
-            n = COUNTERS // _CHUNK
-            blobs = [counts[i * _CHUNK : (i + 1) * _CHUNK].tobytes() for i in range(n)]
+            blobs = [_packed(counts[i : i + _CHUNK]) for i in range(0, COUNTERS, _CHUNK)]
+            n = len(blobs)
             yield pa.RecordBatch.from_arrays(
                 [*(pa.nulls(n, pa.int64()) for _ in range(4)), pa.array(np.arange(n, dtype=np.int32)), pa.array(np.full(n, TaskContext.get().partitionId(), np.int32)), pa.array(blobs, pa.binary())], names
             )
 
-    return run
+    return K.tidy(run)
+
 
+def _packed(counts: np.ndarray) -> bytes:
+    """The counters of a chunk that aren't 0: their places and values."""
+    at = np.flatnonzero(counts)
+    return at.astype(np.uint16).tobytes() + counts[at].astype(np.uint32).tobytes()
 
-def _add(key, table):
-    total = sum(np.frombuffer(x, np.int32).astype(np.int64) for x in table.column("counts").to_pylist())
-    total = np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()
-    return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total], pa.binary())})
+
+def _add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums a chunk's counters, one after the other."""
+    total = np.zeros(_CHUNK, np.int64)
+    for b in batches:
+        for x in b.column(b.schema.names.index("counts")):
+            n = len(raw := x.as_py()) // 6
+            total[np.frombuffer(raw, np.uint16, n)] += np.frombuffer(raw, np.uint32, n, 2 * n)
+    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([_packed(np.minimum(total, 2**32 - 1))], pa.binary())], ["chunk", "counts"])
 
 
 def frequency_classes(partial: DataFrame) -> np.ndarray:
@@ -107,9 +125,10 @@ def frequency_classes(partial: DataFrame) -> np.ndarray:
     schema = "chunk int, counts binary"
     some = partial.groupBy("chunk", F.expr("task % 64").alias("t")).applyInArrow(_add, schema)
     rows = some.groupBy("chunk").applyInArrow(_add, schema).collect()
-    counts = np.zeros(COUNTERS, np.int32)
-    for chunk, blob in rows:
-        counts[chunk * _CHUNK : (chunk + 1) * _CHUNK] = np.frombuffer(blob, np.int32)
+    counts = np.zeros(COUNTERS, np.int64)
+    for chunk, raw in rows:
+        n = len(raw) // 6
+        counts[chunk * _CHUNK + np.frombuffer(raw, np.uint16, n).astype(np.int64)] = np.frombuffer(raw, np.uint32, n, 2 * n)
     return np.log2(counts + 1.0).astype(np.uint8)
 
 
@@ -131,7 +150,7 @@ def _prefixes(k: int, percent: int, shared):
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(r[keep], minlength=hi - lo))]).astype(np.int32)), K.signed(key[keep]))
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(size, pa.int64()), K.signed(s1), K.signed(s2), lists], ["doc_id", "n", "s1", "s2", "prefix"])
 
-    return run
+    return K.tidy(run)
 
 
 def _whole(k: int):
@@ -144,7 +163,48 @@ def _whole(k: int):
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), K.signed(x))
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), K.signed(s1), lists], ["doc_id", "s1", "items"])
 
-    return run
+    return K.tidy(run)
+
+
+def size_class(n: np.ndarray, percent: int) -> np.ndarray:
+    """Sets that link have classes that differ by 1 at most."""
+    return np.floor(np.log(np.maximum(n, 1)) / math.log(100 / percent) + 1e-9).astype(np.int64)
+
+
+def part_count(c: np.ndarray, percent: int) -> np.ndarray:
+    """For a set of class ``c`` and one of its own or the next class: one more than the shingles in which they can differ if they link."""
+    r = 100 / percent
+    least = np.ceil(r**c * (1 - 1e-9))  # sizes in these classes are whole numbers below these bounds
+    one, two = np.maximum(np.ceil(r ** (c + 1) * (1 + 1e-9)), least), np.ceil(r ** (c + 2) * (1 + 1e-9))
+    return np.floor((100 - percent) * (one + two) / (100 + percent) + 1e-9).astype(np.int64) + 1
+
+
+def _parts(k: int, percent: int):
+    """The fingerprint of each part of each set, for its own size class and the one below."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column(0)
+            for lo, hi, data, off in K.slices(K.column(b, "text")):
+                r, x = shingle_sets(data, off, k)
+                size, s1, _ = _fingerprints(r, x, hi - lo)
+                own, deal, mark = size_class(size, percent), K.mix(x ^ np.uint64(0x5851F42D4C957F2D)), K.mix(x ^ np.uint64(0x14057B7EF767814F))
+                rows, keys = [], []
+                for c in (own, own - 1):
+                    g = np.where((size > 0) & (c >= 0), part_count(np.maximum(c, 0), percent), 0)
+                    first = np.cumsum(g) - g
+                    total = np.zeros(int(g.sum()), np.uint64)
+                    ok = g[r] > 0
+                    at = first[r[ok]] + (deal[ok] % np.maximum(g, 1)[r[ok]].astype(np.uint64)).astype(np.int64)
+                    np.add.at(total, at, mark[ok])
+                    row = np.repeat(np.arange(len(g)), g)
+                    place = np.arange(len(row)) - first[row]
+                    rows.append(row)
+                    keys.append(K.mix(total ^ K.mix((c[row].astype(np.uint64) << np.uint64(40)) ^ place.astype(np.uint64))))
+                row = np.concatenate(rows)
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo).take(pa.array(row)), K.signed(s1[row]), pa.array(size[row], pa.int64()), K.signed(np.concatenate(keys))], ["doc_id", "s1", "n", "token"])
+
+    return K.tidy(run)
 
 
 class Join:
@@ -169,7 +229,7 @@ class Join:
         p, side = self.percent, self.prefixes.select("doc_id", "s1", "n", "prefix")
         x = side.select(F.col("doc_id").alias("xd"), F.col("s1").alias("xs"), F.col("n").alias("xn"), F.col("prefix").alias("px"))
         y = side.select(F.col("doc_id").alias("yd"), F.col("s1").alias("ys"), F.col("n").alias("yn"), F.col("prefix").alias("py"))
-        both = pairs.join(x, ["xd", "xs"]).join(y, ["yd", "ys"])
+        both = spread(cut(pairs, "op9"), y, ["yd", "ys"], ["xd"]).join(x, ["xd", "xs"])
         both = both.withColumn("shared", F.size(F.array_intersect("px", "py"))).withColumn("last", F.expr("least(element_at(px, -1), element_at(py, -1))"))
         # prefixes are sorted: the one that ends first lies within the other's range whole
         ended = f"shared + IF(element_at(px, -1) = last, xn - size(px), yn - size(py)) >= {self._needed('xn', 'yn')}"
@@ -182,7 +242,7 @@ class Join:
         sets = cut(sets, "op9")
         a = sets.select(F.col("doc_id").alias("xd"), F.col("s1").alias("xs"), F.col("items").alias("ix"))
         b = sets.select(F.col("doc_id").alias("yd"), F.col("s1").alias("ys"), F.col("items").alias("iy"))
-        exact = likely.join(a, ["xd", "xs"]).join(b, ["yd", "ys"]).withColumn("common", F.size(F.array_intersect("ix", "iy")))
+        exact = spread(likely, b, ["yd", "ys"], ["xd"]).join(a, ["xd", "xs"]).withColumn("common", F.size(F.array_intersect("ix", "iy")))
         return exact.where(f"100 * common >= {p} * (xn + yn - common)").select(F.col("xd").alias("a"), F.col("yd").alias("b"))
 
     def run(self) -> DataFrame:
@@ -192,35 +252,70 @@ class Join:
         rows = first.where("chunk IS NULL").select("doc_id", "n", "s1", "s2")
         classes = frequency_classes(first.where("chunk IS NOT NULL").select("chunk", "task", "counts"))
         shared = spark.sparkContext.broadcast(classes)
-        reps = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2").agg(F.min("doc_id").alias("doc_id"))
+        reps = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
+        sizes = cut(reps, "op9")
+        reps = sizes.drop("n")
         indexed = self.docs.where("doc_id IS NOT NULL").mapInArrow(_prefixes(self.k, self.percent, shared), "doc_id long, n long, s1 long, s2 long, prefix array<long>").where("n > 0")
-        self.prefixes = cut(indexed.join(reps, ["s1", "s2", "doc_id"], "left_semi"), "op9")
+        self.prefixes = cut(indexed.join(reps, ["s1", "s2", "doc_id"], "left_semi").dropDuplicates(["s1", "s2", "doc_id"]), "op9")
         entries = self.prefixes.select("doc_id", "s1", "n", F.posexplode("prefix").alias("pos", "token"))
-        live = entries.groupBy("token").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).where("lo < hi").select("token")
-        entries = cut(entries.join(live, "token"), "op9")
 
+        lists = entries.groupBy("token").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
+        lists = cut(lists.select("token", "n"), "op9")
+        listed = cut(spread(entries, lists.select("token"), ["token"], ["doc_id", "s1"], counts=lists), "op9")
         order = F.expr("pos * 8796093022208L + (s1 & 8796093022207L)")  # earliest position first, ties by fingerprint
-        lead = cut(entries.withColumn("o", order).groupBy("token").agg(*[F.min_by(c, "o").alias(n) for c, n in (("doc_id", "yd"), ("s1", "ys"), ("n", "yn"), ("pos", "yp"))]), "op9")
+        lead = listed.withColumn("o", order).groupBy("token").agg(*[F.min_by(c, "o").alias(n) for c, n in (("doc_id", "yd"), ("s1", "ys"), ("n", "yn"), ("pos", "yp"))])
         x = [F.col("doc_id").alias("xd"), F.col("s1").alias("xs"), F.col("n").alias("xn"), F.col("pos").alias("xp")]
-        near = cut(self._verified(self._pairs(entries.join(lead, "token").select(*x, "yd", "ys", "yn", "yp"))), "op9")
+        led = spread(listed, cut(lead, "op9"), ["token"], ["doc_id", "s1"], counts=lists)
+        near = cut(self._verified(self._pairs(led.select(*x, "yd", "ys", "yn", "yp"))), "op9")
         twice = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).where("lo < hi").select("doc_id")
         same = rows.join(twice, "doc_id", "left_semi").join(reps.select("s1", "s2", F.col("doc_id").alias("b")), ["s1", "s2"]).select(F.col("doc_id").alias("a"), "b")
         near = cut(near.unionByName(same), "op9")
         label = components(near, "op9")
 
-        named = entries.join(label.select(F.col("u").alias("doc_id"), F.col("v").alias("c")), "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
-        leads = lead.join(label.select(F.col("u").alias("yd"), F.col("v").alias("lc")), "yd", "left").select("token", F.col("yd").alias("ld"), F.coalesce("lc", "yd").alias("lc"))
-        named = named.join(leads, "token")
-        odd = cut(named.where("c <> lc"), "op9")
-        lists = odd.select("token").distinct()
-        left = odd.select("token", *x, F.col("c").alias("xc"))
-        right = named.join(lists, "token", "left_semi").where("doc_id <> ld").select("token", F.col("doc_id").alias("yd"), F.col("s1").alias("ys"), F.col("n").alias("yn"), F.col("pos").alias("yp"), F.col("c").alias("yc"), "lc")
-        rest = left.join(right, "token").where("xc <> yc AND (yc = lc OR xd < yd)")
-        more = cut(self._verified(self._pairs(rest.select("xd", "xs", "xn", "xp", "yd", "ys", "yn", "yp"))), "op9")
+        self.met = self._across(listed, label)
+        more = cut(self._verified(self.met), "op9")
         if not more.isEmpty():
             label = components(near.unionByName(more), "op9")
-        named_reps = reps.join(label.select(F.col("u").alias("doc_id"), "v"), "doc_id", "left").select("s1", "s2", F.coalesce("v", "doc_id").alias("component_id"))
-        return rows.join(named_reps, ["s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        named = reps.join(label.select(F.col("u").alias("doc_id"), "v"), "doc_id", "left").select("s1", "s2", F.coalesce("v", "doc_id").alias("component_id"))
+        full = spread(rows.where("n > 0"), named, ["s1", "s2"], ["doc_id"], "left", sizes).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+        return full.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+    def _mixed(self, lists: DataFrame, label: DataFrame) -> DataFrame:
+        """Entries (with their component ``c``) of the lists that hold sets of several components."""
+        named = lists.join(label.select(F.col("u").alias("doc_id"), F.col("v").alias("c")), "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
+        named = cut(named, "op9")
+        kinds = named.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("token", "n")
+        kinds = cut(kinds, "op9")
+        return cut(spread(named, kinds.select("token"), ["token"], ["doc_id", "s1"], counts=kinds), "op9")
+
+    def _across(self, listed: DataFrame, label: DataFrame) -> DataFrame:
+        """Pairs (xd, xs, yd, ys) that may link although they lie in different components."""
+        p, step = self.percent, math.log(100 / self.percent) / BLOCKS
+        odd = self._mixed(listed, label)
+        block = lambda n: F.floor(F.log(n) / step + 1e-9)
+        # with pos shingles unmatched, a partner has 100 * (n - pos) / p - pos shingles at most: a set late in a list looks up nothing
+        most = 100 * (F.col("n") - F.col("pos")) / p - F.col("pos") + 1e-6
+        listed = odd.withColumn("own", block(F.col("n").cast("double")))
+        asks = listed.where(most >= F.col("n")).withColumn("block", F.explode(F.sequence(F.col("own"), block(most))))
+        asked = cut(asks.groupBy("token", "block").agg(F.count(F.lit(1)).alias("n")), "op9")
+        flags = asked.select("token", "block", (F.col("n") > LIST).alias("frequent"))
+        asks = cut(spread(asks, flags, ["token", "block"], ["doc_id", "s1"], counts=asked), "op9")
+        # sets that could be answers meet the few that ask for their block
+        answers = listed.withColumnRenamed("own", "block")
+        held = cut(answers.groupBy("token", "block").agg(F.count(F.lit(1)).alias("n")), "op9")
+        answers = cut(spread(answers, flags, ["token", "block"], ["doc_id", "s1"], counts=held), "op9")
+        x = asks.where("NOT frequent").select("token", "block", F.col("doc_id").alias("xd"), F.col("s1").alias("xs"), F.col("n").alias("xn"), F.col("pos").alias("xp"), F.col("c").alias("xc"))
+        y = answers.where("NOT frequent").select("token", "block", F.col("doc_id").alias("yd"), F.col("s1").alias("ys"), F.col("n").alias("yn"), F.col("pos").alias("yp"), F.col("c").alias("yc"))
+        larger = "xc <> yc AND (xn < yn OR (xn = yn AND xs < ys) OR (xn = yn AND xs = ys AND xd < yd))"
+        found = self._pairs(spread(y, x, ["token", "block"], ["yd", "ys"], counts=held).where(larger))
+
+        sets = cut(asks.where("frequent").select("doc_id", "s1").unionByName(answers.where("frequent").select("doc_id", "s1")).distinct(), "op9")
+        texts = member_of(sets, "doc_id")(self.docs, "some").where("some").select("doc_id", "text")
+        parts = texts.mapInArrow(_parts(self.k, p), "doc_id long, s1 long, n long, token long").join(sets, ["doc_id", "s1"], "left_semi").dropDuplicates(["token", "doc_id", "s1"])
+        alike = self._mixed(parts, label)
+        x = alike.select("token", F.col("doc_id").alias("xd"), F.col("s1").alias("xs"), F.col("n").alias("xn"), F.lit(0).alias("xp"), F.col("c").alias("xc"))
+        y = alike.select("token", F.col("doc_id").alias("yd"), F.col("s1").alias("ys"), F.col("n").alias("yn"), F.lit(0).alias("yp"), F.col("c").alias("yc"))
+        return cut(found.unionByName(self._pairs(x.join(y, "token").where(larger))).distinct(), "op9")
 
 
 def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

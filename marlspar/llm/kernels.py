@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one vectorised step works on; a longer text is a step of its own.
-SLICE_BYTES = 1 << 19
+SLICE_BYTES = 1 << 18
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BASES = (0xD1342543DE82EF95, 0xAF251AF3B0F025B5, 0x2545F4914F6CDD1D)
@@ -21,6 +22,23 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+def tidy(run):
+    """Gives memory that a task has freed back to the system: workers are used again and would keep it."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _powers.clear()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return go
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (splitmix64's), in place of weak low bits."""
     x = x ^ (x >> np.uint64(30))
@@ -35,7 +53,7 @@ def powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of an odd base modulo 2**64, and their inverses."""
     have = _powers.get(which)
     if have is None or len(have[0]) < n:
-        size = max(n, 1 << 16)
+        size = max(n, SLICE_BYTES + 1)
         base = _BASES[which]
         inverse = pow(base, -1, 1 << 64)
         both = []

@@ -86,6 +86,7 @@ def fit(train: DataFrame, per_lang: int = SAMPLE_PER_LANG, bits: int = BITS) ->
     rows = [r for r in sample.mapInArrow(_features(BUCKETS), "lang string, ix binary, xs binary").collect() if r[1]]
     if not rows:
         return None
+    rows.sort()  # reruns agree
     langs = sorted(counts)
     code = codewords(len(langs), bits)
     t = code[[langs.index(r[0]) for r in rows]].astype(np.float32)
@@ -158,7 +159,7 @@ def _predict(shared):
                 unsure += (has & (p < SURE)).tolist()
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(unsure, pa.bool_())], [*b.schema.names, "lang_pred", "score", "ambiguous"])
 
-    return run
+    return K.tidy(run)
 
 
 def predict(docs: DataFrame, model: dict | None) -> DataFrame:

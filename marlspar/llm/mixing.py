@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .scratch import cut, member_of
+from .scratch import cut, free, member_of
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -114,42 +114,47 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_EPOCHS, seed: str = S
     )
 
 
-def _copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _copies(size_name: str, taken_name: str):
     """Repeats whole texts and cuts the last repeat to its words."""
-    for b in batches:
-        at = {n: i for i, n in enumerate(b.schema.names)}
-        text, size, taken = (b.column(at[n]).to_pylist() for n in ("text", "__size", "__taken"))
-        rows, texts = [], []
-        for i, (t, s, k) in enumerate(zip(text, size, taken, strict=True)):
-            whole, part = divmod(k, s) if s else (0, 0)
-            rows += [i] * (whole + bool(part))
-            texts += [t] * whole
-            if part:
-                raw = t.encode()
-                data = np.frombuffer(raw, np.uint8)
-                _, end, _ = K.word_bounds(data, np.array([0, len(data)]))
-                texts.append(raw[: end[part - 1]].decode())
-        out = b.take(pa.array(rows, pa.int64()))
-        names = [n for n in b.schema.names if n not in ("__size", "__taken")]
-        yield pa.RecordBatch.from_arrays([pa.array(texts, b.schema.field("text").type) if n == "text" else out.column(at[n]) for n in names], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = {n: i for i, n in enumerate(b.schema.names)}
+            text, size, taken = (b.column(at[n]).to_pylist() for n in ("text", size_name, taken_name))
+            rows, texts = [], []
+            for i, (t, s, k) in enumerate(zip(text, size, taken, strict=True)):
+                whole, part = divmod(k, s) if s else (0, 0)
+                rows += [i] * (whole + bool(part))
+                texts += [t] * whole
+                if part:
+                    raw = t.encode()
+                    data = np.frombuffer(raw, np.uint8)
+                    _, end, _ = K.word_bounds(data, np.array([0, len(data)]))
+                    texts.append(raw[: end[part - 1]].decode())
+            out = b.take(pa.array(rows, pa.int64()))
+            names = [n for n in b.schema.names if n not in (size_name, taken_name)]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, b.schema.field("text").type) if n == "text" else out.column(at[n]) for n in names], names)
+
+    return K.tidy(run)
 
 
 def materialise(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The mix itself: each document as often as it is taken, its last repeat cut to the budget."""
-    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "source", "text"))
-    once = mixed.groupBy("doc_id", "row_key", "size").agg(F.sum("taken").alias("taken"), F.count(F.lit(1)).alias("n"))  # equal rows share what they take
-    once = once.where("taken > 0").select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__row_key"), F.col("size").alias("__size"), "taken", "n")
+    """The mix itself: each document as often as it is taken, its last repeat cut to the budget; all columns of ``docs``, whatever their names."""
+    own, key, ident, size, taken, n, some = free(docs.columns, "own_key", "key", "ident", "size", "taken", "n", "some")
+    keyed = docs.withColumn(own, F.xxhash64("doc_id", "source", "text"))
+    once = mixed.groupBy("doc_id", "row_key", "size").agg(F.sum("taken").alias("t"), F.count(F.lit(1)).alias("k"))  # equal rows share what they take
+    once = once.where("t > 0").select(F.col("doc_id").alias(ident), F.col("row_key").alias(key), F.col("size").alias(size), F.col("t").alias(taken), F.col("k").alias(n))
     once = cut(once, "op4")
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__row_key"))
-    out = keyed.join(once.where("n = 1"), same).withColumn("__taken", F.col("taken")).select(*docs.columns, "__size", "__taken")
-    equal = once.where("n > 1")
+    same = F.col("doc_id").eqNullSafe(F.col(ident)) & (F.col(own) == F.col(key))
+    out = keyed.join(once.where(F.col(n) == 1), same).select(*docs.columns, size, taken)
+    equal = once.where(F.col(n) > 1)
     if not equal.isEmpty():  # what is left over of an even share goes to the first rows
-        twin = Window.partitionBy("__id", "__row_key").orderBy(F.lit(0))
-        more = F.when(F.row_number().over(twin) <= F.expr("taken % n"), 1).otherwise(0)
-        rows = member_of(equal.withColumnRenamed("__id", "doc_id"), "doc_id")(keyed, "__some").where("__some OR doc_id IS NULL").drop("__some")
-        shared = rows.join(equal, same).withColumn("__taken", F.expr("taken div n") + more)
-        out = out.unionByName(shared.where("__taken > 0").select(*docs.columns, "__size", "__taken"))
-    return out.mapInArrow(_copies, docs.schema)
+        twin = Window.partitionBy(ident, key).orderBy(F.lit(0))
+        more = F.when(F.row_number().over(twin) <= F.col(taken) % F.col(n), 1).otherwise(0)
+        rows = member_of(equal.select(F.col(ident).alias("doc_id")), "doc_id")(keyed, some).where(F.col(some) | F.col("doc_id").isNull()).drop(some)
+        shared = rows.join(equal, same).withColumn(taken, F.floor(F.col(taken) / F.col(n)) + more)
+        out = out.unionByName(shared.where(F.col(taken) > 0).select(*docs.columns, size, taken))
+    return out.mapInArrow(_copies(size, taken), docs.schema)
 
 
 def op4_source_mixing(spark, sf_dir: str) -> DataFrame:

@@ -7,8 +7,8 @@ task empties its least full windows into its fullest, so that one window at most
 leftovers, one a task, are merged the same way in rounds of up to ``MERGE`` until one is left.
 
 Defined cases: a null or empty text is the single id 0; repeated rows are packed separately; an
-empty table packs to nothing; other columns are ignored.  Strings that look like special tokens are
-ordinary text.
+empty table packs to nothing; other columns are ignored.  A string that the vocabulary adds as a token
+of its own is that token, as the tokenizer reads it.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ OPEN = 16
 MERGE = 256
 TOKENIZER = "byte_bpe_50k.json"
 #: Words whose ids a Python worker remembers.
-REMEMBER = 200_000
+REMEMBER = 60_000
 COLUMNS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
 
@@ -87,7 +87,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.added = tuple(t.content for t in self.tok.get_added_tokens_decoder().values())
         ids_of = letters = self.whole
         ranks = path.removesuffix(".json") + ".tiktoken"
         if os.path.exists(ranks):
@@ -102,7 +102,7 @@ class Encoder:
         self.words = Words(ids_of, letters)
 
     def odd(self, text: str) -> bool:
-        if text[0] in " \n" or text[-1] in " \n":
+        if text[0] in " \n" or text[-1] in " \n" or any(map(text.__contains__, self.added)):
             return True
         return any(map(text.__contains__, self.ODD_ASCII)) or not text.isascii() and any(map(text.__contains__, self.ODD_OTHER))
 
@@ -211,7 +211,7 @@ def _pack(path: str, length: int, most: int):
         packer.finish()
         yield packer.batch()
 
-    return run
+    return K.tidy(run)
 
 
 def _merge(length: int, most: int, base: int):

@@ -5,8 +5,8 @@ standardised statistics of its structure and metadata.  Besides a weight, each f
 of ``RANK`` numbers; all pairs of features interact through the products of their vectors.  The sum
 over pairs is taken in linear time: half of the square of the sum less the sum of the squares.
 
-It is fitted on at most ``SAMPLE`` labelled rows, those of least hash of the id; all rows are scored
-over their whole texts.
+It is fitted on at most ``SAMPLE`` labelled rows, those of least hash of the id (``draw``), in an order that is
+that of their features, so that reruns agree; all rows are scored over their whole texts.
 
 Defined cases: a null or empty text has no words and all statistics 0, and is scored like any other;
 a null n_chars counts as the text's length; without labelled rows every score is 0.5; a row without a label is
@@ -109,11 +109,18 @@ def margins(model: dict, r, bucket, x, stats: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE, rank: int = RANK) -> dict | None:
-    """A model from rows (y, text, n_chars); None without rows."""
-    rows = labelled.limit(sample).mapInArrow(_emit, "y int, ix binary, xs binary, st binary").collect()
+def draw(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(doc_id, y) of at most ``sample`` labelled ids: a table of bounded size."""
+    least = labels.groupBy("doc_id").agg(F.max("quality").cast("int").alias("y")).orderBy(F.xxhash64(F.lit("quality-sample"), "doc_id"), "doc_id").limit(sample)
+    return labels.sparkSession.createDataFrame([(r[0], r[1]) for r in least.collect()], "doc_id long, y int")
+
+
+def fit(labelled: DataFrame, rank: int = RANK) -> dict | None:
+    """A model from the rows (y, text, n_chars) of a sample of bounded size; None without rows."""
+    rows = labelled.mapInArrow(_emit, "y int, ix binary, xs binary, st binary").collect()
     if not rows:
         return None
+    rows.sort()
     y = np.array([r[0] for r in rows], float)
     ix = [np.frombuffer(r[1], np.uint16).astype(np.int64) for r in rows]
     xs = [np.frombuffer(r[2], np.float32) for r in rows]
@@ -164,7 +171,7 @@ def _score(shared):
             p = 1 / (1 + np.exp(-np.clip(out, -30, 30)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p), pa.array((p >= LIMIT).astype(np.int32))], [*b.schema.names, "score", "predicted"])
 
-    return run
+    return K.tidy(run)
 
 
 def score(docs: DataFrame, model: dict | None) -> DataFrame:
@@ -182,8 +189,6 @@ def held_out():
 def op3_quality_classifier(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "n_chars")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality IS NOT NULL AND doc_id IS NOT NULL").where(~held_out())
-    drawn = labels.groupBy("doc_id").agg(F.max("quality").cast("int").alias("y")).orderBy(F.xxhash64(F.lit("quality-sample"), "doc_id"), "doc_id").limit(SAMPLE)
-    ids = drawn.collect()  # SAMPLE small rows at most
-    few = spark.createDataFrame([(r[0], r[1]) for r in ids], "doc_id long, y int")
-    model = fit(docs.join(F.broadcast(few), "doc_id").select("y", "text", "n_chars")) if ids else None
+    few = draw(labels)
+    model = None if few.isEmpty() else fit(docs.join(F.broadcast(few), "doc_id").groupBy("doc_id").agg(F.min(F.struct("y", "text", "n_chars")).alias("r")).select("r.*"))
     return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")

@@ -2,10 +2,11 @@
 
 Seeds are winnowed anchors: of every window of 50 words the 8-gram of least fingerprint (the last of
 equals), so that two equal windows choose the same anchor.  An anchor's context are all words of the
-windows that chose it.  Documents are joined on anchors; anchors that only one document has are done.
+windows that chose it.  One aggregate with map-side combining turns occurrences into classes of equal contexts, and
+documents meet on anchors as classes; anchors that only one document has are done.
 Extension goes both ways at once: occurrences whose contexts are equal match over the whole context,
-and one aggregate gives the first document of each class of equal contexts, however large, without
-pairing its members.  Only the first occurrence of a class whose anchor also has other contexts is
+and the class tells its first document, however large it is, without pairing its members; an anchor, class or window that
+very many rows share is dealt over tasks.  Only the first occurrence of a class whose anchor also has other contexts is
 extended word by word: its windows are compared, by fingerprints of 128 bits, with those of the other
 classes.  A window that an earlier document has is a repeat of at least the threshold's length, and
 neighbouring windows join into maximal repeats, whose words go.
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .scratch import cut, member_of
+from .scratch import cut, free, member_of, spread
 
 LENGTH = 50
 SEED_WORDS = 8
@@ -68,7 +69,7 @@ def _anchors(length: int, seed: int):
                     ["doc_id", "row_key", "s", "e", "anchor", "context"],
                 )
 
-    return run
+    return K.tidy(run)
 
 
 def _windows(length: int):
@@ -93,65 +94,72 @@ def _windows(length: int):
                     ["doc_id", "row_key", "s", "w1", "w2"],
                 )
 
-    return run
-
-
-def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds n_words, n_removed and the kept words joined by single spaces; takes ``__spans`` away."""
-    for b in batches:
-        at = b.schema.names.index("__spans")
-        spans, texts = b.column(at).to_pylist(), K.column(b, "text").to_pylist()
-        n, gone, kept = [], [], []
-        for t, sp in zip(texts, spans, strict=True):
-            w = t.encode().split()  # splits at the six ASCII white-space bytes, no others
-            n.append(len(w))
-            if sp:
-                mark = np.zeros(len(w), bool)
-                for x in sp:
-                    mark[x["s"] : x["e"]] = True
-                w = [x for x, m in zip(w, mark.tolist(), strict=True) if not m]
-            gone.append(n[-1] - len(w))
-            kept.append(b" ".join(w))
-        rest = [i for i in range(b.num_columns) if i != at]
-        names = [b.schema.names[i] for i in rest] + ["n_words", "n_removed", "kept_sha256", "kept_text"]
-        yield pa.RecordBatch.from_arrays(
-            [b.column(i) for i in rest] + [pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept]), pa.array([k.decode() for k in kept], pa.string())],
-            names,
-        )
+    return K.tidy(run)
+
+
+def _strip(name: str):
+    """Adds n_words, n_removed and the kept words joined by single spaces; takes the spans, in column ``name``, away."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.schema.names.index(name)
+            spans, texts = b.column(at).to_pylist(), K.column(b, "text").to_pylist()
+            n, gone, kept = [], [], []
+            for t, sp in zip(texts, spans, strict=True):
+                w = t.encode().split()  # splits at the six ASCII white-space bytes, no others
+                n.append(len(w))
+                if sp:
+                    mark = np.zeros(len(w), bool)
+                    for x in sp:
+                        mark[x["s"] : x["e"]] = True
+                    w = [x for x, m in zip(w, mark.tolist(), strict=True) if not m]
+                gone.append(n[-1] - len(w))
+                kept.append(b" ".join(w))
+            rest = [i for i in range(b.num_columns) if i != at]
+            names = [b.schema.names[i] for i in rest] + ["n_words", "n_removed", "kept_sha256", "kept_text"]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(i) for i in rest] + [pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept]), pa.array([k.decode() for k in kept], pa.string())],
+                names,
+            )
+
+    return K.tidy(run)
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED_WORDS) -> DataFrame:
     """doc_id, row_key, s, e: words s to e (e excluded) of a row that an earlier document has."""
     keyed = docs.select("doc_id", F.xxhash64("text").alias("row_key"), "text").where("doc_id IS NOT NULL")
     anchors = cut(keyed.mapInArrow(_anchors(length, seed), "doc_id long, row_key long, s int, e int, anchor long, context long"), "op2")
-    shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
-    found = cut(anchors.join(shared, "anchor"), "op2")
-    classes = cut(found.groupBy("anchor", "context").agg(F.min("doc_id").alias("first_id")), "op2")
-    varied = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor", F.lit(True).alias("varied"))
-    placed = found.join(classes.join(varied, "anchor", "left"), ["anchor", "context"])
+    classes = cut(anchors.groupBy("anchor", "context").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.count(F.lit(1)).alias("n")), "op2")
+    shared = classes.groupBy("anchor").agg(F.min("first_id").alias("lo"), F.max("last_id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
+    shared = cut(shared.select("anchor", "n", (F.col("n") > 1).alias("varied")), "op2")
+    classes = cut(spread(classes, shared.select("anchor", "varied"), ["anchor"], ["context"], counts=shared), "op2")
+    placed = spread(anchors, classes.select("anchor", "context", "first_id", "varied"), ["anchor", "context"], ["doc_id", "s"], counts=classes)
+    placed = cut(placed.where("varied OR doc_id > first_id"), "op2")
     whole = placed.where("doc_id > first_id").select("doc_id", "row_key", "s", (F.col("e") + length).alias("e"))
     edges = cut(placed.where("doc_id = first_id AND varied").select("doc_id", "row_key", "s", "e"), "op2")
     some = member_of(edges, "doc_id")(keyed, "some").where("some").drop("some")
     spans = edges.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     again = some.join(spans.hint("shuffle_hash"), ["doc_id", "row_key"]).select("doc_id", "row_key", "text", "spans")
     windows = cut(again.mapInArrow(_windows(length), "doc_id long, row_key long, s int, w1 long, w2 long"), "op2")
-    earliest = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("w1", "w2", "lo")
-    part = windows.join(earliest, ["w1", "w2"]).where("doc_id > lo").select("doc_id", "row_key", "s", (F.col("s") + length).alias("e"))
+    earliest = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
+    earliest = cut(earliest.select("w1", "w2", "lo", "n"), "op2")
+    part = spread(windows, earliest.drop("n"), ["w1", "w2"], ["doc_id", "s"], counts=earliest).where("doc_id > lo").select("doc_id", "row_key", "s", (F.col("s") + length).alias("e"))
     return whole.unionByName(part)
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, seed: int = SEED_WORDS) -> DataFrame:
     """``docs`` (doc_id, text and any others) with n_words, n_removed, kept_sha256 and kept_text, in place of columns of these names."""
     docs = docs.drop("n_words", "n_removed", "kept_sha256", "kept_text")
+    ident, key, covered, touched = free(docs.columns, "ident", "key", "covered", "touched")
     gone = cut(repeats(docs, length, seed), "op2")
-    spans = gone.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("s", "e")).alias("__spans"))
-    spans = spans.select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__key"), "__spans")
-    split = member_of(gone, "doc_id")(docs, "__touched")
-    hit = split.where("__touched").drop("__touched")
-    hit = hit.join(spans.hint("shuffle_hash"), (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__key")), "left").select(*docs.columns, "__spans")
-    rest = split.where("NOT __touched").select(*docs.columns, F.lit(None).cast("array<struct<s:int,e:int>>").alias("__spans"))
+    spans = gone.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("s", "e")).alias("l"))
+    spans = spans.select(F.col("doc_id").alias(ident), F.col("row_key").alias(key), F.col("l").alias(covered))
+    split = member_of(gone, "doc_id")(docs, touched)
+    hit = split.where(F.col(touched)).drop(touched)
+    hit = hit.join(spans.hint("shuffle_hash"), (F.col("doc_id") == F.col(ident)) & (F.xxhash64("text") == F.col(key)), "left").select(*docs.columns, covered)
+    rest = split.where(~F.col(touched)).select(*docs.columns, F.lit(None).cast("array<struct<s:int,e:int>>").alias(covered))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return rest.unionByName(hit).mapInArrow(_strip, f"{fields}, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return rest.unionByName(hit).mapInArrow(_strip(covered), f"{fields}, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marlspar.llm import graph, jaccard, kernels, language, mixing, packing, quality, substring
+from marlspar.llm import graph, jaccard, kernels, language, mixing, packing, quality, scratch, substring
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, spans string, s1 string"
 
@@ -100,6 +100,8 @@ def brute_repeats(rows, n=50):
 def test_substring_dedup(spark, corpus):
     got = substring.dedup(table(spark, corpus))
     assert {"spans", "s1", "kept_text"} <= set(got.columns)
+    clash = table(spark, corpus[:9]).withColumn("covered", F.lit("c")).withColumn("ident", F.lit(1)).withColumn("__touched", F.lit("t"))
+    assert set(clash.columns) < set(substring.dedup(clash).columns) and substring.dedup(clash).where("covered <> 'c' OR ident <> 1 OR __touched <> 't'").count() == 0
     rows = collections.Counter(tuple(r) for r in got.select("doc_id", "n_words", "n_removed", "kept_sha256").collect())
     assert rows == brute_repeats(corpus)
     assert sum(r[2] for r in rows) > 1000
@@ -157,6 +159,60 @@ def test_jaccard_join(spark, corpus, percent):
     assert jaccard.join(table(spark, rows).where("false"), percent=percent).count() == 0
 
 
+def test_jaccard_of_frequent_shingles_does_not_compare_all_pairs(spark, monkeypatch):
+    """Unlinked sets of frequent shingles only: candidate pairs don't grow with the square of the rows; links among them are found."""
+    rng, met = random.Random(8), []
+    for n in (600, 1200):
+        rows = [(i, " ".join(rng.choice("abcdef") for _ in range(30)), "en", "s") for i in range(n)]
+        rows += [(5000 + i, t.replace(t[-1], "e", 1) if i % 2 else t + " a", "en", "s") for i, t, *_ in rows[:40]]
+        job = jaccard.Join(table(spark, rows))
+        got = collections.Counter(tuple(r) for r in job.run().collect())
+        if n == 600:
+            assert got == brute_jaccard(rows, 90)
+        met.append(job.met.count())
+    assert met[1] < 2.5 * met[0] + 100, met
+
+
+@pytest.mark.parametrize("percent", [90, 80])
+def test_equal_parts_miss_no_link(percent):
+    """Two sets that link have an equal part, whatever their sizes."""
+    rng = np.random.default_rng(percent)
+    for _ in range(400):
+        n = int(rng.integers(1, 400))
+        a = rng.integers(0, 2**62, n).astype(np.uint64)
+        drop, add = int(rng.integers(0, n // 5 + 2)), int(rng.integers(0, n // 5 + 2))
+        b = np.concatenate([a[drop:], rng.integers(0, 2**62, add).astype(np.uint64)])
+        common = n - min(drop, n)
+        if not len(b) or 100 * common < percent * (n + len(b) - common):
+            continue
+        small, large = sorted((a, b), key=len)
+        c = jaccard.size_class(np.array([len(small), len(large)]), percent)
+        assert c[1] - c[0] in (0, 1)
+        assert jaccard.part_count(c[:1], percent)[0] > n + len(b) - 2 * common
+
+
+def test_spread_is_a_join(spark):
+    rng = random.Random(4)
+    left = [(rng.choice([1, 1, 1, 2, None, rng.randrange(900)]), i) for i in range(3000)]
+    right = [(k, -k) for k in range(700)] + [(None, 5)]
+    a, b = spark.createDataFrame(left, "k long, i long"), spark.createDataFrame(right, "k long, salt long")
+    for how in ("inner", "left"):
+        got = collections.Counter(tuple(r) for r in scratch.spread(a, b, ["k"], ["i"], how).collect())
+        want = collections.Counter((k, i, -k) if k is not None and k < 700 else (k, i, None) for k, i in left if how == "left" or (k is not None and k < 700))
+        assert got == want
+
+
+def test_scopes_keep_what_others_wrote(spark):
+    kept = scratch.cut(spark.range(3), "t")
+    with scratch.scope() as name:
+        gone = scratch.cut(spark.range(4), "t")
+        assert gone.count() == 4
+    scratch.release(name)
+    assert kept.count() == 3
+    with pytest.raises(Exception, match="(?i)not.exist|FILE_NOT"):
+        gone.count()
+
+
 def brute_targets(sizes):
     order = sorted(sizes, key=lambda x: (x is None, x or ""))
     w = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
@@ -191,6 +247,9 @@ def test_mixing(spark, corpus):
     assert made.columns == docs.columns
     assert made.select(F.sum(F.regexp_count("text", F.lit(mixing.WORD)))).first()[0] == sum(taken.values())
     assert mixing.mix(docs.where("false")).count() == 0
+    clash = docs.withColumn("taken", F.lit(1)).withColumn("n", F.lit(2)).withColumn("size", F.lit("x")).withColumn("__taken", F.lit(3)).withColumn("own_key", F.lit(4))
+    again = mixing.materialise(clash, mixing.mix(clash))
+    assert again.columns == clash.columns and again.count() == made.count() and again.where("size <> 'x'").count() == 0
     assert {r.taken for r in mixing.mix(docs.where("doc_id in (500, 501)")).collect()} == {0}
 
 
@@ -203,11 +262,11 @@ def test_targets_reshare_until_none_is_above():
 def test_packing(spark, corpus):
     from tokenizers import Tokenizer
 
-    odd = [(910, "a  b\n\n c d <|endoftext|> x", "en", "s"), (911, "don't\nstop 12,5 été.\nOk", "en", "s")]
+    odd = [(912, "<|endoftext|>", "en", "s"), (913, "x<|endoftext|>y z", "en", "s"), (910, "a  b\n\n c d <|endoftext|> x", "en", "s"), (911, "don't\nstop 12,5 été.\nOk", "en", "s")]
     rows = corpus + odd
     got = packing.pack(table(spark, rows)).collect()
     tok = Tokenizer.from_file(packing.tokenizer_path())
-    tok.encode_special_tokens = True
+    assert tok.encode("<|endoftext|>", add_special_tokens=False).ids == [50256]
     want = collections.defaultdict(list)
     for i, t, *_ in rows:
         want[i].append([*tok.encode(t or "", add_special_tokens=False).ids, 0])
