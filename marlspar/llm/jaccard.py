@@ -38,13 +38,14 @@ from .scratch import cut, member_of, spread
 SHINGLE = 3
 PERCENT = 90
 #: Counters of shingle frequencies, 4 bytes each, whatever the input.
-COUNTERS = 1 << 22
-_CHUNK = 1 << 14
+COUNTERS = 1 << 24
+_CHUNK = 1 << 16
 #: Sets that look up one block of a list; a block that more look up is compared by equal parts of sets.
 LIST = 64
+ODD = [f"odd{i}" for i in range(4)]
 #: Blocks that a list has for sets of which the largest could link with the smallest.
 BLOCKS = 4
-_SHIFT = np.uint64(42)
+_SHIFT = np.uint64(40)
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -110,26 +111,34 @@ def _packed(counts: np.ndarray) -> bytes:
     return at.astype(np.uint16).tobytes() + counts[at].astype(np.uint32).tobytes()
 
 
-def _add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums a chunk's counters, one after the other."""
+def _sum(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+    """A chunk's counters, added one after the other."""
     total = np.zeros(_CHUNK, np.int64)
     for b in batches:
         for x in b.column(b.schema.names.index("counts")):
             n = len(raw := x.as_py()) // 6
             total[np.frombuffer(raw, np.uint16, n)] += np.frombuffer(raw, np.uint32, n, 2 * n)
-    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([_packed(np.minimum(total, 2**32 - 1))], pa.binary())], ["chunk", "counts"])
+    return np.minimum(total, 2**32 - 1)
+
+
+def _add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    blob = _packed(_sum(batches))
+    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([blob], pa.binary())], ["chunk", "counts"])
+
+
+def _logarithms(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    blob = np.log2(_sum(batches) + 1.0).astype(np.uint8).tobytes()
+    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([blob], pa.binary())], ["chunk", "counts"])
 
 
 def frequency_classes(partial: DataFrame) -> np.ndarray:
-    """The binary logarithm of the count of each counter: COUNTERS bytes."""
+    """The binary logarithm of the count of each counter: COUNTERS bytes, summed in two steps and streamed within each."""
     schema = "chunk int, counts binary"
     some = partial.groupBy("chunk", F.expr("task % 64").alias("t")).applyInArrow(_add, schema)
-    rows = some.groupBy("chunk").applyInArrow(_add, schema).collect()
-    counts = np.zeros(COUNTERS, np.int64)
-    for chunk, raw in rows:
-        n = len(raw) // 6
-        counts[chunk * _CHUNK + np.frombuffer(raw, np.uint16, n).astype(np.int64)] = np.frombuffer(raw, np.uint32, n, 2 * n)
-    return np.log2(counts + 1.0).astype(np.uint8)
+    out = np.zeros(COUNTERS, np.uint8)
+    for chunk, raw in some.groupBy("chunk").applyInArrow(_logarithms, schema).collect():
+        out[chunk * _CHUNK : (chunk + 1) * _CHUNK] = np.frombuffer(raw, np.uint8)
+    return out
 
 
 def _prefixes(k: int, percent: int, shared):
@@ -180,7 +189,7 @@ def part_count(c: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _parts(k: int, percent: int):
-    """The fingerprint of each part of each set, for its own size class and the one below."""
+    """The fingerprint of each part of each set, for its own size class and the one below, and parities of the whole set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -201,8 +210,11 @@ def _parts(k: int, percent: int):
                     place = np.arange(len(row)) - first[row]
                     rows.append(row)
                     keys.append(K.mix(total ^ K.mix((c[row].astype(np.uint64) << np.uint64(40)) ^ place.astype(np.uint64))))
+                # bits that tell whether an even or odd number of shingles fall into each of 256 cells: they differ in no more places than the sets
+                odd = np.zeros((hi - lo, 4), np.uint64)
+                np.bitwise_xor.at(odd, (r, (mark >> np.uint64(62)).astype(np.int64)), np.uint64(1) << ((mark >> np.uint64(56)) & np.uint64(63)))
                 row = np.concatenate(rows)
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo).take(pa.array(row)), K.signed(s1[row]), pa.array(size[row], pa.int64()), K.signed(np.concatenate(keys))], ["doc_id", "s1", "n", "token"])
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo).take(pa.array(row)), K.signed(s1[row]), pa.array(size[row], pa.int64()), K.signed(np.concatenate(keys)), *(K.signed(odd[row, i]) for i in range(4))], ["doc_id", "s1", "n", "token", *ODD])
 
     return K.tidy(run)
 
@@ -261,7 +273,7 @@ class Join:
 
         lists = entries.groupBy("token").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
         lists = cut(lists.select("token", "n"), "op9")
-        listed = cut(spread(entries, lists.select("token"), ["token"], ["doc_id", "s1"], counts=lists), "op9")
+        listed = cut(spread(entries, lists.select("token", F.col("n").alias("held")), ["token"], ["doc_id", "s1"], counts=lists), "op9")
         order = F.expr("pos * 8796093022208L + (s1 & 8796093022207L)")  # earliest position first, ties by fingerprint
         lead = listed.withColumn("o", order).groupBy("token").agg(*[F.min_by(c, "o").alias(n) for c, n in (("doc_id", "yd"), ("s1", "ys"), ("n", "yn"), ("pos", "yp"))])
         x = [F.col("doc_id").alias("xd"), F.col("s1").alias("xs"), F.col("n").alias("xn"), F.col("pos").alias("xp")]
@@ -272,7 +284,7 @@ class Join:
         near = cut(near.unionByName(same), "op9")
         label = components(near, "op9")
 
-        self.met = self._across(listed, label)
+        self.met = self._across(listed.where("held > 2").drop("held"), label)  # of two sets one has led the other
         more = cut(self._verified(self.met), "op9")
         if not more.isEmpty():
             label = components(near.unionByName(more), "op9")
@@ -297,6 +309,7 @@ class Join:
         most = 100 * (F.col("n") - F.col("pos")) / p - F.col("pos") + 1e-6
         listed = odd.withColumn("own", block(F.col("n").cast("double")))
         asks = listed.where(most >= F.col("n")).withColumn("block", F.explode(F.sequence(F.col("own"), block(most))))
+        asks = cut(asks, "op9")
         asked = cut(asks.groupBy("token", "block").agg(F.count(F.lit(1)).alias("n")), "op9")
         flags = asked.select("token", "block", (F.col("n") > LIST).alias("frequent"))
         asks = cut(spread(asks, flags, ["token", "block"], ["doc_id", "s1"], counts=asked), "op9")
@@ -309,13 +322,20 @@ class Join:
         larger = "xc <> yc AND (xn < yn OR (xn = yn AND xs < ys) OR (xn = yn AND xs = ys AND xd < yd))"
         found = self._pairs(spread(y, x, ["token", "block"], ["yd", "ys"], counts=held).where(larger))
 
-        sets = cut(asks.where("frequent").select("doc_id", "s1").unionByName(answers.where("frequent").select("doc_id", "s1")).distinct(), "op9")
+        # a pair that only frequent blocks know has nothing in common before the first of them in either set
+        sets = asks.where("frequent").select("doc_id", "s1", "pos").unionByName(answers.where("frequent").select("doc_id", "s1", "pos"))
+        sets = cut(sets.groupBy("doc_id", "s1").agg(F.min("pos").alias("pos")), "op9")
         texts = member_of(sets, "doc_id")(self.docs, "some").where("some").select("doc_id", "text")
-        parts = texts.mapInArrow(_parts(self.k, p), "doc_id long, s1 long, n long, token long").join(sets, ["doc_id", "s1"], "left_semi").dropDuplicates(["token", "doc_id", "s1"])
+        schema = "doc_id long, s1 long, n long, token long, " + ", ".join(f"{c} long" for c in ODD)
+        parts = texts.mapInArrow(_parts(self.k, p), schema).join(sets, ["doc_id", "s1"]).dropDuplicates(["token", "doc_id", "s1"])
         alike = self._mixed(parts, label)
-        x = alike.select("token", F.col("doc_id").alias("xd"), F.col("s1").alias("xs"), F.col("n").alias("xn"), F.lit(0).alias("xp"), F.col("c").alias("xc"))
-        y = alike.select("token", F.col("doc_id").alias("yd"), F.col("s1").alias("ys"), F.col("n").alias("yn"), F.lit(0).alias("yp"), F.col("c").alias("yc"))
-        return cut(found.unionByName(self._pairs(x.join(y, "token").where(larger))).distinct(), "op9")
+        sides = []
+        for t in "xy":
+            names = {"doc_id": "d", "s1": "s", "n": "n", "pos": "p", "c": "c"} | {c: c for c in ODD}
+            sides.append(alike.select("token", *[F.col(c).alias(t + n) for c, n in names.items()]))
+        apart = " + ".join(f"bit_count(x{c} ^ y{c})" for c in ODD) + f" <= xn + yn - 2 * {self._needed('xn', 'yn')}"
+        same = sides[0].join(sides[1], "token").where(larger).where(apart)
+        return cut(found.unionByName(self._pairs(same)).distinct(), "op9")
 
 
 def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
