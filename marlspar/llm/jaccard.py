@@ -271,8 +271,9 @@ class Join:
         self.prefixes = cut(indexed.join(reps, ["s1", "s2", "doc_id"], "left_semi").dropDuplicates(["s1", "s2", "doc_id"]), "op9")
         entries = self.prefixes.select("doc_id", "s1", "n", F.posexplode("prefix").alias("pos", "token"))
 
-        lists = entries.groupBy("token").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
-        lists = cut(lists.select("token", "n"), "op9")
+        # a set is in a list once; two sets alone, of sizes too unlike to link, need no list
+        lists = entries.groupBy("token").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count(F.lit(1)).alias("n"))
+        lists = cut(lists.where(f"n > 2 OR (n = 2 AND 100 * least >= {self.percent} * most)").select("token", "n"), "op9")
         listed = cut(spread(entries, lists.select("token", F.col("n").alias("held")), ["token"], ["doc_id", "s1"], counts=lists), "op9")
         order = F.expr("pos * 8796093022208L + (s1 & 8796093022207L)")  # earliest position first, ties by fingerprint
         lead = listed.withColumn("o", order).groupBy("token").agg(*[F.min_by(c, "o").alias(n) for c, n in (("doc_id", "yd"), ("s1", "ys"), ("n", "yn"), ("pos", "yp"))])
