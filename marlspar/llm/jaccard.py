@@ -121,22 +121,15 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
     return np.minimum(total, 2**32 - 1)
 
 
-def _add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    blob = _packed(_sum(batches))
-    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([blob], pa.binary())], ["chunk", "counts"])
-
-
 def _logarithms(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     blob = np.log2(_sum(batches) + 1.0).astype(np.uint8).tobytes()
     yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([blob], pa.binary())], ["chunk", "counts"])
 
 
 def frequency_classes(partial: DataFrame) -> np.ndarray:
-    """The binary logarithm of the count of each counter: COUNTERS bytes, summed in two steps and streamed within each."""
-    schema = "chunk int, counts binary"
-    some = partial.groupBy("chunk", F.expr("task % 64").alias("t")).applyInArrow(_add, schema)
+    """The binary logarithm of the count of each counter: COUNTERS bytes.  A chunk's partial counts stream through one task."""
     out = np.zeros(COUNTERS, np.uint8)
-    for chunk, raw in some.groupBy("chunk").applyInArrow(_logarithms, schema).collect():
+    for chunk, raw in partial.groupBy("chunk").applyInArrow(_logarithms, "chunk int, counts binary").collect():
         out[chunk * _CHUNK : (chunk + 1) * _CHUNK] = np.frombuffer(raw, np.uint8)
     return out
 
@@ -238,10 +231,12 @@ class Join:
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of doc_ids whose sets link."""
-        p, side = self.percent, self.prefixes.select("doc_id", "s1", "n", "prefix")
+        p, pairs = self.percent, cut(pairs, "op9")
+        asked = pairs.select(F.col("xd").alias("doc_id")).unionByName(pairs.select(F.col("yd").alias("doc_id")))
+        side = member_of(asked, "doc_id")(self.prefixes, "some").where("some").select("doc_id", "s1", "n", "prefix")
         x = side.select(F.col("doc_id").alias("xd"), F.col("s1").alias("xs"), F.col("n").alias("xn"), F.col("prefix").alias("px"))
         y = side.select(F.col("doc_id").alias("yd"), F.col("s1").alias("ys"), F.col("n").alias("yn"), F.col("prefix").alias("py"))
-        both = spread(cut(pairs, "op9"), y, ["yd", "ys"], ["xd"]).join(x, ["xd", "xs"])
+        both = spread(pairs, y, ["yd", "ys"], ["xd"]).join(x, ["xd", "xs"])
         both = both.withColumn("shared", F.size(F.array_intersect("px", "py"))).withColumn("last", F.expr("least(element_at(px, -1), element_at(py, -1))"))
         # prefixes are sorted: the one that ends first lies within the other's range whole
         ended = f"shared + IF(element_at(px, -1) = last, xn - size(px), yn - size(py)) >= {self._needed('xn', 'yn')}"
