@@ -106,9 +106,25 @@ def _summaries(k: int):
 
 
 def _packed(counts: np.ndarray) -> bytes:
-    """The counters of a chunk that aren't 0: their places and values."""
+    """A chunk's counters that aren't 0: a bit for each counter (or, where those are few, their number and places), a byte
+    for each such count, and four bytes more for each that fills its byte."""
     at = np.flatnonzero(counts)
-    return at.astype(np.uint16).tobytes() + counts[at].astype(np.uint32).tobytes()
+    few = 2 * len(at) < _CHUNK // 8
+    where = np.uint16(len(at)).tobytes() + at.astype(np.uint16).tobytes() if few else np.packbits(counts != 0).tobytes()
+    c = counts[at]
+    return bytes([few]) + where + np.minimum(c, 255).astype(np.uint8).tobytes() + c[c >= 255].astype(np.uint32).tobytes()
+
+
+def _unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Places and counts that ``_packed`` wrote."""
+    if raw[0]:
+        n = int(np.frombuffer(raw, np.uint16, 1, 1)[0])
+        at, end = np.frombuffer(raw, np.uint16, n, 3).astype(np.int64), 3 + 2 * n
+    else:
+        at, end = np.flatnonzero(np.unpackbits(np.frombuffer(raw, np.uint8, _CHUNK // 8, 1))), 1 + _CHUNK // 8
+    c = np.frombuffer(raw, np.uint8, len(at), end).astype(np.int64)
+    c[c == 255] = np.frombuffer(raw, np.uint32, -1, end + len(at))
+    return at, c
 
 
 def _sum(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
@@ -116,8 +132,8 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
     total = np.zeros(_CHUNK, np.int64)
     for b in batches:
         for x in b.column(b.schema.names.index("counts")):
-            n = len(raw := x.as_py()) // 6
-            total[np.frombuffer(raw, np.uint16, n)] += np.frombuffer(raw, np.uint32, n, 2 * n)
+            at, c = _unpacked(x.as_py())
+            total[at] += c
     return np.minimum(total, 2**32 - 1)
 
 

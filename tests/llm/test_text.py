@@ -375,3 +375,16 @@ def test_quality_identity_equals_the_sum_over_pairs():
     vectors = np.concatenate([model["v"][bucket], model["vs"]])
     want = 0.3 + values @ np.concatenate([model["w"][bucket], model["ws"]]) + sum(values[i] * values[j] * (vectors[i] @ vectors[j]) for i in range(len(values)) for j in range(i))
     assert quality.margins(model, r, bucket, x, stats)[0] == pytest.approx(want, rel=1e-5)
+
+
+@pytest.mark.parametrize("n", [0, 3, 4095, 4096, 15000, 65536])
+def test_counters_come_back_as_they_were_packed(n):
+    rng = np.random.default_rng(n)
+    counts = np.zeros(jaccard._CHUNK, np.int32)
+    at = rng.choice(jaccard._CHUNK, n, replace=False)
+    counts[at] = rng.integers(1, 4, n)
+    counts[at[:5]] = [254, 255, 256, 70000, 2**31 - 1][: min(5, n)]
+    back = np.zeros_like(counts)
+    where, c = jaccard._unpacked(jaccard._packed(counts))
+    back[where] = c
+    assert (back == counts).all()
