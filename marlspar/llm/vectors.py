@@ -21,6 +21,8 @@ from .scratch import cut
 #: Vectors in one block of a comparison.
 BLOCK = 8192
 TILE = 1024
+#: Leading dimensions of a box, leaves of the tree of boxes, and vectors (about) that its cuts are taken from.
+DIMS, LEAVES, SAMPLE = 8, 4096, 1 << 16
 
 
 def _valid(df: DataFrame) -> DataFrame:
@@ -70,51 +72,75 @@ def rotation(reps: DataFrame) -> np.ndarray:
     return np.linalg.eigh(total.reshape(d, d))[1][:, ::-1].copy()
 
 
-def _cells(turn: np.ndarray, width: float, x: np.ndarray) -> np.ndarray:
-    """The cell of each vector on the two leading directions; linked vectors differ by one at most in each."""
-    u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    c = np.floor((u @ turn[:, :2]) / width).astype(int)
-    if c.shape[1] < 2:
-        c = np.concatenate([c, np.zeros((len(c), 2 - c.shape[1]), int)], 1)
-    return c
+def grow(sample: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """Direction and cut of each node of a whole binary tree of at least ``blocks`` leaves (LEAVES at most): the widest direction, at its median."""
+    depth = max(0, math.ceil(math.log2(max(1, min(blocks, LEAVES)))))
+    dims, cuts, parts = np.zeros(2**depth - 1, np.int64), np.full(2**depth - 1, np.inf), [sample]
+    for node in range(len(dims)):
+        some = parts[node]
+        if len(some) > 1:
+            dims[node] = int(some.var(0).argmax())
+            cuts[node] = np.median(some[:, dims[node]])
+        low = some[:, dims[node]] < cuts[node]
+        parts += [some[low], some[~low]]
+    return dims, cuts
 
 
-def _count_cells(shared, width):
+def _leaves(y: np.ndarray, dims: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    node = np.zeros(len(y), np.int64)
+    for _ in range((len(dims) + 1).bit_length() - 1):
+        node = 2 * node + 1 + (y[np.arange(len(y)), dims[node]] >= cuts[node])
+    return node - len(dims)
+
+
+def _leading(shared):
     def run(batches):
         for b in batches:
             if b.num_rows:
-                c = _cells(shared.value, width, _matrix(b.column(0)))
-                yield pa.RecordBatch.from_arrays([pa.array(c[:, 0]), pa.array(c[:, 1])], ["c0", "c1"])
+                x = _matrix(b.column(0))
+                y = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ shared.value[:, :DIMS]
+                yield pa.RecordBatch.from_arrays([pa.array(list(y), pa.list_(pa.float64()))], ["lead"])
 
     return run
 
 
-def _deal(shared, width):
-    """Each vector once for every pair of blocks that its block belongs to."""
+def _place(shared):
+    """Each vector with its leading dimensions and its leaf."""
 
     def run(batches):
-        turn, first = shared.value  # first: number of a cell's first block, and how many it has
+        turn, tree = shared.value
         for b in batches:
-            if not b.num_rows:
-                continue
-            ids, x = b.column(0).to_numpy(), _matrix(b.column(1))
-            cells = _cells(turn, width, x)
-            salt = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-            rows, left, right = [], [], []
-            for i, (c0, c1) in enumerate(cells.tolist()):
-                at, n = first[(c0, c1)]
-                own = at + int(salt[i]) % n
-                for d0, d1 in itertools.product((-1, 0, 1), repeat=2):
-                    near = first.get((c0 + d0, c1 + d1))
-                    if near is None:
-                        continue
-                    for other in range(near[0], near[0] + near[1]):
-                        rows.append(i)
-                        left.append(min(own, other))
-                        right.append(max(own, other))
-            own_of = np.array([first[tuple(c)][0] + int(s) % first[tuple(c)][1] for c, s in zip(cells.tolist(), salt, strict=True)])
-            t = b.take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*t.columns, pa.array(own_of[rows]), pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["vec_id", "x", "copies", "own", "left", "right"])
+            if b.num_rows:
+                x = _matrix(b.column(1))
+                y = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ turn[:, :DIMS]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_leaves(y, *tree)), pa.array(list(y), pa.list_(pa.float64()))], ["vec_id", "x", "copies", "leaf", "lead"])
+
+    return run
+
+
+def _deal(shared, threshold: float):
+    """Each vector once for every block whose box it can reach, paired with its own block."""
+
+    def run(batches):
+        _, at, count, low, high = shared.value  # of each leaf: its first block, how many it has, its box
+        most = 2 - 2 * threshold + 1e-9
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                b = batch.slice(lo, 256)
+                ids, leaf = b.column(0).to_numpy(), b.column(3).to_numpy()
+                y = np.array(b.column(4).to_pylist(), float)
+                gap = np.zeros((len(ids), len(at)))
+                for k in range(y.shape[1]):
+                    gap += np.maximum(0, np.maximum(low[:, k] - y[:, k, None], y[:, k, None] - high[:, k])) ** 2
+                row, near = np.nonzero((gap <= most) & (count > 0))
+                salt = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+                own = at[leaf] + (salt % count[leaf].astype(np.uint64)).astype(np.int64)
+                times = count[near]
+                other = np.repeat(at[near] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+                row = np.repeat(row, times)
+                t = b.select([0, 1, 2]).take(pa.array(row, pa.int64()))
+                sides = (own[row], np.minimum(own[row], other), np.maximum(own[row], other))
+                yield pa.RecordBatch.from_arrays([*t.columns, *(pa.array(c) for c in sides)], ["vec_id", "x", "copies", "own", "left", "right"])
 
     return run
 
@@ -133,7 +159,9 @@ def _compare(shared, threshold: float):
         same = key[0].as_py() == key[1].as_py()
         half = int((own == key[0].as_py()).sum())
         lead = min(max(4, y.shape[1] // 4), y.shape[1])
-        tail = np.sqrt(np.maximum((y[:, lead:] ** 2).sum(1), 0))
+        tail = np.sqrt((y[:, lead:] ** 2).sum(1))
+        ends = sorted({e for e in (lead, y.shape[1] // 2, y.shape[1] * 3 // 4) if e >= lead})
+        steps, rest = list(itertools.pairwise(ends)), {e: np.sqrt((y[:, e:] ** 2).sum(1)) for e in ends[1:]}
         part = np.concatenate([y[:, :lead], tail[:, None]], 1).astype(np.float32)
         links, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
         tiles = lambda lo, hi: [(a, min(a + TILE, hi)) for a in range(lo, hi, TILE)]
@@ -153,14 +181,20 @@ def _compare(shared, threshold: float):
                 i, j = i + a, j + c
                 if same and a == c:
                     i, j = i[i < j], j[i < j]
-                hit = []
+                hit, left = [], []
                 for lo in range(0, len(i), 1 << 16):
                     p, q = i[lo : lo + (1 << 16)], j[lo : lo + (1 << 16)]
+                    so_far = (y[p, :lead] * y[q, :lead]).sum(1)
+                    for begin, end in steps:  # a pair stops where what is left can't lift it to the threshold
+                        so_far += (y[p, begin:end] * y[q, begin:end]).sum(1)
+                        on = so_far + rest[end][p] * rest[end][q] >= threshold - 1e-9
+                        p, q, so_far = p[on], q[on], so_far[on]
+                    left.append((p, q))
                     hit.append((x[p] * x[q]).sum(1) / (norm[p] * norm[q]) >= threshold)
                 if not hit:
                     continue
                 hit = np.concatenate(hit)
-                i, j = i[hit], j[hit]
+                i, j = (np.concatenate(side)[hit] for side in zip(*left, strict=True))
                 links += np.bincount(i, copies[j], len(ids)).astype(np.int64) + np.bincount(j, copies[i], len(ids)).astype(np.int64)
                 while True:  # the least place that is linked, until nothing changes
                     low = label.copy()
@@ -185,11 +219,11 @@ def near_duplicates(df: DataFrame, threshold: float = 0.95, block: int = BLOCK)
     """vec_id, n_links, component_id, kept of each row of ``df`` (vec_id, embedding).
 
     Equal vectors are one class.  Vectors are turned so that their leading dimensions hold most of the
-    second moment.  Linked vectors lie in the same or neighbouring cells of a grid on the two leading
-    dimensions; a cell is dealt into blocks of bounded size, and each pair of blocks is a group of its own.
-    Within it, tiles are skipped by the boxes of their leading dimensions, products accumulate over
-    leading dimensions only, the rest is bounded by suffix norms, and only pairs that can still reach
-    the threshold get an exact cosine.
+    second moment, and split at medians of those into leaves of bounded size.  A leaf has a box that holds all its
+    vectors; a vector is dealt to its own leaf and to those whose box it can reach with a link, and each pair of leaves is a
+    group of its own (a leaf that is too large even so is cut by hash).  Within it, tiles are skipped by the boxes of
+    their leading dimensions, and products accumulate over a quarter, half and three quarters of the dimensions: each time
+    the rest is bounded by suffix norms, and pairs that can't reach the threshold stop.  Those left get an exact cosine.
 
     Defined cases: a vector that takes no part has 0 links and is its own component (a null vec_id: null);
     rows of equal id and vector count as one; an empty table gives an empty result; other columns are ignored."""
@@ -203,15 +237,21 @@ def near_duplicates(df: DataFrame, threshold: float = 0.95, block: int = BLOCK)
     for (d,) in raw.select("d").distinct().collect():  # a row a length
         some = raw.where(F.col("d") == d)
         turn = rotation(some)
-        width = math.sqrt(2 - 2 * threshold) * (1 + 1e-9) + 1e-9
-        # at most (2 / width + 2) ** 2 cells
-        sizes = some.select("x").mapInArrow(_count_cells(spark.sparkContext.broadcast(turn), width), "c0 long, c1 long").groupBy("c0", "c1").count().collect()
-        first, n = {}, 0
-        for c0, c1, k in sorted(map(tuple, sizes)):
-            first[c0, c1] = (n, -(-k // block))
-            n += -(-k // block)
-        shared = spark.sparkContext.broadcast((turn, first))
-        dealt = some.select("vec_id", "x", "copies").mapInArrow(_deal(shared, width), "vec_id long, x binary, copies long, own long, left long, right long")
+        blocks = -(-(n := some.count()) // block)
+        every = -(-n // SAMPLE)  # the cuts only decide how vectors are dealt, not which are linked
+        taken = some.where(F.pmod(F.xxhash64("x"), F.lit(every)) == 0) if every > 1 else some
+        lead = taken.select("x").mapInArrow(_leading(spark.sparkContext.broadcast(turn)), "lead array<double>").collect() if blocks > 1 else []
+        tree = grow(np.array([r[0] for r in lead]).reshape(-1, min(d, DIMS)), blocks)
+        placed = some.select("vec_id", "x", "copies").mapInArrow(_place(spark.sparkContext.broadcast((turn, tree))), "vec_id long, x binary, copies long, leaf long, lead array<double>")
+        placed = cut(placed, "op5")
+        sides = [f(F.col("lead")[k]) for f in (F.min, F.max) for k in range(min(d, DIMS))]
+        at, count, low, high = np.zeros(m := len(tree[0]) + 1, np.int64), np.zeros(m, np.int64), np.zeros((m, min(d, DIMS))), np.zeros((m, min(d, DIMS)))
+        for leaf, size, *box in placed.groupBy("leaf").agg(F.count(F.lit(1)), *sides).collect():  # LEAVES rows at most
+            # a quarter over is still one block: cuts come from a sample
+            count[leaf], low[leaf], high[leaf] = -(-size // (block + block // 4)), box[: min(d, DIMS)], box[min(d, DIMS) :]
+        at[1:] = np.cumsum(count)[:-1]
+        shared = spark.sparkContext.broadcast((turn, at, count, low, high))
+        dealt = placed.mapInArrow(_deal(shared, threshold), "vec_id long, x binary, copies long, own long, left long, right long")
         part = dealt.groupBy("left", "right").applyInArrow(_compare(shared, threshold), "vec_id long, links long, other long")
         found = part if found is None else found.unionByName(part)
     if found is None:

@@ -2,8 +2,10 @@
 
 import json
 import random
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from marlspar.llm import html, vectors, warc
@@ -51,6 +53,26 @@ def test_near_duplicates(spark, vecs, block):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got) and len(got) == len(rows + odd)
 
 
+def dealt_copies(n, block):
+    """Copies that ``n`` vectors in tight, far clusters of 50 are dealt as, for each vector."""
+    rng = np.random.default_rng(n)
+    centers = rng.normal(size=(n // 50, 16))
+    x = np.repeat(centers, 50, axis=0) + rng.normal(scale=0.01, size=(n, 16))
+    y = (x / np.linalg.norm(x, axis=1, keepdims=True))[:, : vectors.DIMS]
+    tree = vectors.grow(y, -(-n // block))
+    leaf = vectors._leaves(y, *tree)
+    count = -(-np.bincount(leaf, minlength=len(tree[0]) + 1) // block)
+    low, high = (np.array([f(y[leaf == i], 0) if (leaf == i).any() else np.zeros(y.shape[1]) for i in range(len(count))]) for f in (np.min, np.max))
+    shared = SimpleNamespace(value=(None, np.cumsum(count) - count, count, low, high))
+    arrays = [pa.array(range(n)), pa.array([b""] * n), pa.array([1] * n), pa.array(leaf), pa.array(list(y))]
+    batch = pa.RecordBatch.from_arrays(arrays, ["vec_id", "x", "copies", "leaf", "lead"])
+    return sum(b.num_rows for b in vectors._deal(shared, 0.95)([batch])) / n
+
+
+def test_near_duplicates_reach_a_smaller_share_of_blocks_the_more_there_are():
+    assert dealt_copies(32000, 500) / 64 < dealt_copies(4000, 500) / 8 < 1
+
+
 def test_near_duplicates_of_repeated_rows_and_nothing(spark, vecs):
     rows, _ = vecs
     twice = vectors.near_duplicates(embedded(spark, rows[:3] * 2 + [(None, rows[0][1])])).collect()
