@@ -262,7 +262,7 @@ class Join:
         wanted = likely.select(F.col("xd").alias("doc_id"), F.col("xs").alias("s1")).unionByName(likely.select(F.col("yd").alias("doc_id"), F.col("ys").alias("s1"))).distinct()
         few = member_of(wanted, "doc_id")(self.docs, "some").where("some").select("doc_id", "text")
         sets = few.mapInArrow(_whole(self.k), "doc_id long, s1 long, items array<long>").join(wanted, ["doc_id", "s1"], "left_semi").dropDuplicates(["doc_id", "s1"])
-        sets = cut(sets, "op9")
+        # not written: both sides read one shuffle of the sets, which has them by (doc_id, s1) already
         a = sets.select(F.col("doc_id").alias("xd"), F.col("s1").alias("xs"), F.col("items").alias("ix"))
         b = sets.select(F.col("doc_id").alias("yd"), F.col("s1").alias("ys"), F.col("items").alias("iy"))
         exact = spread(likely, b, ["yd", "ys"], ["xd"]).join(a, ["xd", "xs"]).withColumn("common", F.size(F.array_intersect("ix", "iy")))
