@@ -60,13 +60,26 @@ def bound_batches(spark: SparkSession) -> None:
             spark.conf.set(key, most)
 
 
+#: For scratch tables on a local file system, which without Hadoop's native library starts a ``chmod`` for each folder and file:
+#: no _SUCCESS, and no .crc beside the checksums that Parquet keeps for its pages.
+_PLAIN = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true", "mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"}
+
+
 def cut(df: DataFrame, owner: str) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it back: what follows does not
-    depend on executors that ran what came before."""
+    depend on executors that ran what came before.
+
+    Where that folder is on a local file system, the driver starts no process for a table: its folders are made by the JVM."""
     spark = df.sparkSession
     bound_batches(spark)
     path = f"{shared_dir(spark)}/marlspar-{owner}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    write = df.write.option("compression", "zstd")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(conf).getScheme() == "file":
+        jvm.java.io.File(f"{where.toUri().getPath()}/_temporary/0").mkdirs()
+        write = write.options(**_PLAIN).mode("append")  # the folder is new and empty
+    write.parquet(path)
     _written.setdefault(_scope.get(), []).append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 

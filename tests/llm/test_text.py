@@ -2,7 +2,9 @@
 
 import collections
 import hashlib
+import os
 import random
+import urllib.parse
 
 import numpy as np
 import pytest
@@ -202,6 +204,13 @@ def test_spread_is_a_join(spark):
         assert got == want
 
 
+def test_scratch_tables_have_no_files_beside_their_parts(spark):
+    rows = scratch.cut(spark.range(0, 1000, 1, 8), "t")
+    names = os.listdir(os.path.dirname(urllib.parse.urlsplit(rows.inputFiles()[0]).path))
+    assert rows.count() == 1000 and len(names) == 8 and all(n.endswith(".parquet") for n in names)
+    assert scratch.cut(spark.range(10).where("id < 0"), "t").count() == 0
+
+
 def test_scopes_keep_what_others_wrote(spark):
     kept = scratch.cut(spark.range(3), "t")
     with scratch.scope() as name:
