@@ -6,7 +6,8 @@ its main text (``article``, ``main``), the blocks in it are the text, whole, for
 share is text all the same.  Elsewhere the open blocks form the page's token stream.  The streams
 of a host's distinct pages are sorted as a suffix array cut at ``RUN`` tokens: a suffix is keyed by
 host and the fingerprint of its first ``RUN`` tokens, and equal neighbours from different pages are
-a repeat.  Pages whose open blocks are nearly equal count as one page there, and so do pages that repeats
+a repeat.  All pages of a host have streams there, those that mark their text too, and structure tells what a
+repeat is: what another page has in an element that goes is a repeat, and what a page has in its marked text is none.  Pages whose open blocks are nearly equal count as one page there, and so do pages that repeats
 leave nothing of, so that copies of an article don't erase one another.  Overlapping repeats are one long
 substring; blocks that repeats cover wholly are boilerplate, and the unique runs of blocks are kept.
 
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import jaccard
 from . import kernels as K
-from .scratch import cut
+from .scratch import cut, member_of
 
 #: Tokens that a repeat has at least.
 RUN = 6
@@ -82,11 +83,12 @@ def _drops(tag: str, raw: str, inside: bool) -> bool:
     return not names.isdisjoint(_NAMES) or (not inside and tag in ("div", "section") and "header" in names)
 
 
-def blocks(page: str) -> tuple[list[str], list[str], bool]:
-    """(main blocks, open blocks, whether the page marks its main text)."""
+def blocks(page: str, gone: list[str] | None = None) -> tuple[list[str], list[str], bool]:
+    """(main blocks, open blocks, whether the page marks its main text).  ``gone`` takes the blocks of elements that go."""
     main: list[str] = []
     open_: list[str] = []
     text: list[str] = []
+    lost: list[str] = []
     stack: list[str] = []  # open elements that decide something
     drop = inside = 0
     marked = False
@@ -100,6 +102,11 @@ def blocks(page: str) -> tuple[list[str], list[str], bool]:
                 if block:
                     (main if inside else open_).append(block)
             text.clear()
+        if lost:
+            block = " ".join(entities.unescape("".join(lost)).split())
+            if block:
+                gone.append(block)
+            lost.clear()
 
     def shorten(depth: int) -> None:
         nonlocal drop, inside
@@ -115,8 +122,11 @@ def blocks(page: str) -> tuple[list[str], list[str], bool]:
         at = page.find("<", last)
         if at < 0:
             break
-        if at > last and not drop:
-            text.append(page[last:at])
+        if at > last:
+            if not drop:
+                text.append(page[last:at])
+            elif gone is not None:
+                lost.append(page[last:at])
         m = _TAG.match(page, at) or _ODD_TAG.match(page, at)
         if m is None:
             if page.startswith("<!--", at):
@@ -143,6 +153,8 @@ def blocks(page: str) -> tuple[list[str], list[str], bool]:
             continue
         if tag == "br":
             text.append(" ")
+            if lost:
+                lost.append(" ")
             continue
         if tag == "hr":
             flush()
@@ -196,26 +208,55 @@ def _starts(tokens: list[list[str]], run: int) -> tuple[np.ndarray, np.ndarray]:
     return K.ngrams(h, run, 1), np.repeat(np.arange(len(tokens)), [len(b) for b in tokens])
 
 
+def _suffixes(texts: list[str], run: int) -> np.ndarray:
+    """Fingerprints of the suffixes of a stream, each once."""
+    return np.unique(_starts([x.split() for x in texts], run)[0]).view(np.int64)
+
+
 def _read(run: int):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
-                texts, waits, suffixes = [], [], []
+                texts, waits, suffixes, dropped = [], [], [], []
                 for page in part.column(2).to_pylist():
+                    gone: list[str] = []
                     main, open_, marked = blocks(page or "")
+                    if not marked:
+                        blocks(page or "", gone)
                     texts.append("\n\n".join(main) if marked else None)
                     waits.append(None if marked else open_)
-                    suffixes.append(None if marked else np.unique(_starts([x.split() for x in open_], run)[0]).view(np.int64).tolist())
+                    suffixes.append(None if marked else _suffixes(open_, run).tolist())
+                    dropped.append(None if marked else _suffixes(gone, run).tolist())
                 hosts = [_host(u) for u in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(hosts, pa.string()), pa.array(texts, pa.string()), pa.array(waits, pa.list_(pa.string())), pa.array(suffixes, pa.list_(pa.int64()))],
-                    ["page_id", "url", "host", "text", "open", "suffixes"],
+                    [part.column(0), part.column(1), pa.array(hosts, pa.string()), pa.array(texts, pa.string()), pa.array(waits, pa.list_(pa.string())), pa.array(suffixes, pa.list_(pa.int64())), pa.array(dropped, pa.list_(pa.int64()))],
+                    ["page_id", "url", "host", "text", "open", "suffixes", "gone"],
                 )
 
     return go
 
 
+def _streams(run: int):
+    """The streams of pages that mark their main text: (host, suffix, whether it is main text)."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                hosts, found, texts = [], [np.zeros(0, np.int64)], []
+                for url, page in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    gone: list[str] = []
+                    main, _, marked = blocks(page or "", gone)
+                    for stream, is_text in ((main, True), (gone, False)) if marked else ():
+                        found.append(_suffixes(stream, run))
+                        hosts += [_host(url)] * len(found[-1])
+                        texts += [is_text] * len(found[-1])
+                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(np.concatenate(found)), pa.array(texts, pa.bool_())], ["host", "suffix", "is_text"])
+
+    return go
+
+
 def _left(open_: list[str], shared: list[int] | None, run: int) -> np.ndarray:
     """Tokens of each block that repeats don't cover."""
     s, block = _starts([x.split() for x in open_], run)
@@ -253,31 +294,42 @@ def _bare(run: int):
     return go
 
 
-def _boilerplate(waiting: DataFrame, run: int) -> DataFrame:
-    """(host, page_key, shared): the repeats of each page that lie on pages which differ in what remains of them.
+def _boilerplate(waiting: DataFrame, marked: DataFrame, run: int) -> DataFrame:
+    """(host, page_key, shared): the repeats of each page that lie on pages which differ in what remains of them, or in what goes of another.
 
-    Near-equal pages count as one, and so do pages that repeats leave nothing of: copies of an article."""
+    Near-equal pages count as one, and so do pages that repeats leave nothing of: copies of an article.  What ``marked``
+    pages (url, html) have as main text is no repeat."""
     pages = waiting.where("size(suffixes) > 0").dropDuplicates(["host", "page_key"]).select("host", "page_key", "open", "suffixes")
     alike = jaccard.join(pages.select(F.col("page_key").alias("doc_id"), F.concat_ws(" ", "open").alias("text")), run, NEAR)
-    alike = alike.groupBy(F.col("doc_id").alias("page_key")).agg(F.min("component_id").alias("kind"))
+    alike = cut(alike.groupBy(F.col("doc_id").alias("page_key")).agg(F.min("component_id").alias("kind")), "op1")
     streams = cut(pages.join(alike, "page_key").select("host", "page_key", "kind", F.explode("suffixes").alias("suffix")), "op1")
-    repeats = streams.groupBy("host", "suffix").agg(F.min("kind").alias("lo"), F.max("kind").alias("hi")).where("lo < hi").select("host", "suffix")
-    found = cut(streams.join(repeats, ["host", "suffix"]), "op1")
+    gone = waiting.join(alike, "page_key", "left").select("host", F.coalesce("kind", "page_key").alias("kind"), F.explode("gone").alias("suffix"))
+    gone = gone.groupBy("host", "suffix").agg(F.min("kind").alias("from"), F.max("kind").alias("to"))
+    # of the other pages' streams only what these pages may have is shuffled
+    asked = streams.select(F.xxhash64("host", "suffix").alias("key"))
+    others = marked.mapInArrow(_streams(run), "host string, suffix long, is_text boolean").withColumn("key", F.xxhash64("host", "suffix"))
+    others = member_of(asked, "key")(others, "some").where("some").groupBy("host", "suffix").agg(F.bool_or("is_text").alias("is_text"))
+    kinds = streams.groupBy("host", "suffix").agg(F.min("kind").alias("lo"), F.max("kind").alias("hi"))
+    kinds = kinds.join(gone, ["host", "suffix"], "left").join(others, ["host", "suffix"], "left").where("is_text IS NULL OR NOT is_text")
+    repeats = cut(kinds.where("lo < hi OR is_text IS NOT NULL OR from IS NOT NULL").withColumn("elsewhere", F.expr("is_text IS NOT NULL")), "op1")
+    found = streams.join(repeats, ["host", "suffix"]).withColumn("elsewhere", F.expr("elsewhere OR coalesce(from <> kind OR to <> kind, FALSE)"))
+    found = cut(found.where("lo < hi OR elsewhere").select("host", "page_key", "kind", "suffix", "elsewhere"), "op1")
     covers = found.groupBy("host", "page_key").agg(F.collect_set("suffix").alias("shared"))
     bare = pages.select("host", "page_key", "open").join(covers, ["host", "page_key"]).mapInArrow(_bare(run), "host string, page_key long, bare boolean").where("bare")
     found = found.join(bare, ["host", "page_key"], "left").withColumn("kind", F.expr("IF(bare, NULL, kind)"))
-    kinds = found.groupBy("host", "suffix").agg(F.min("kind").alias("lo"), F.max("kind").alias("hi"), F.count_if(F.col("kind").isNull()).alias("bare"))
-    kinds = kinds.where("lo < hi OR (lo IS NOT NULL AND bare > 0)").select("host", "suffix")
-    return found.join(kinds, ["host", "suffix"]).groupBy("host", "page_key").agg(F.collect_set("suffix").alias("shared"))
+    kinds = found.groupBy("host", "suffix").agg(F.min("kind").alias("lo"), F.max("kind").alias("hi"), F.count_if(F.col("kind").isNull()).alias("bare"), F.bool_or("elsewhere").alias("some"))
+    kinds = kinds.where("some OR lo < hi OR (lo IS NOT NULL AND bare > 0)").select("host", "suffix", F.expr("lo < hi OR (lo IS NOT NULL AND bare > 0)").alias("shared"))
+    found = found.select("host", "page_key", "suffix", "elsewhere").join(kinds, ["host", "suffix"]).where("elsewhere OR shared")
+    return found.groupBy("host", "page_key").agg(F.collect_set("suffix").alias("shared"))
 
 
 def extract(pages: DataFrame, run: int = RUN) -> DataFrame:
     """page_id, url, text, n_chars of each row of ``pages`` (page_id, url, html)."""
-    read = cut(pages.select("page_id", "url", "html").mapInArrow(_read(run), "page_id long, url string, host string, text string, open array<string>, suffixes array<long>"), "op1")
+    read = cut(pages.select("page_id", "url", "html").mapInArrow(_read(run), "page_id long, url string, host string, text string, open array<string>, suffixes array<long>, gone array<long>"), "op1")
     done = read.where("open IS NULL").select("page_id", "url", "text")
     waiting = read.where("open IS NOT NULL").withColumn("page_key", F.xxhash64("open"))
     if not waiting.isEmpty():
-        rest = waiting.select("page_id", "url", "host", "page_key", "open").join(_boilerplate(waiting, run), ["host", "page_key"], "left")
+        rest = waiting.select("page_id", "url", "host", "page_key", "open").join(_boilerplate(waiting, pages.select("url", "html"), run), ["host", "page_key"], "left")
         done = done.unionByName(rest.select("page_id", "url", "open", "shared").mapInArrow(_unique(run), "page_id long, url string, text string"))
     return done.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 

@@ -190,6 +190,30 @@ def test_copies_of_an_article_do_not_erase_one_another(spark):
     assert got[10].startswith(e) and got[11].startswith(e)
 
 
+def test_pages_that_mark_their_text_tell_what_is_furniture(spark):
+    rng = random.Random(9)
+    body = lambda n: " ".join(f"b{rng.randrange(10**6)}" for _ in range(n))
+    menu, note, shared = (body(9) for _ in range(3))
+    own = {i: body(40) for i in range(8)}
+    full = lambda text: f"<nav><p>{menu}</p></nav><article><p>{text}</p><p>{shared}</p></article><span class=ad>{note}</span>"
+    rows = [(i, f"http://a.org/{i}", full(own[i])) for i in range(3)]
+    rows += [(3, "http://a.org/3", f"<p>{menu}</p><p>{own[3]}</p><p>{shared}</p><p>{note}</p>")]  # the only page of its kind
+    rows += [(4, "http://a.org/4", f"<p>{own[0]}</p>")]  # a copy of an article whose page marks it
+    rows += [(5, "http://b.org/5", f"<p>{menu}</p><p>{own[5]}</p>")]  # another host
+    rows += [(6, "http://c.org/6", f"<nav><p>{menu}</p></nav><p>{own[6]}</p>"), (7, "http://c.org/7", f"<p>{menu}</p><p>{own[7]}</p><footer>{own[7]}</footer>")]
+    got = {r.page_id: r.text for r in html.extract(pages(spark, rows)).collect()}
+    assert [got[i] for i in range(3)] == [f"{own[i]}\n\n{shared}" for i in range(3)]
+    assert got[3] == f"{own[3]}\n\n{shared}"
+    assert got[4] == own[0] and got[5] == f"{menu}\n\n{own[5]}"
+    assert got[6] == own[6] and got[7] == own[7]  # what goes of a page says nothing about itself
+
+
+def test_blocks_of_elements_that_go():
+    gone = []
+    assert html.blocks(PAGE.format(main="article"), gone) == html.blocks(PAGE.format(main="article"))
+    assert gone == ["Menu", "Buy", "Site", "side", "f", "no", "s", "c", "© f"]
+
+
 def test_derivatives(spark):
     rows = [(1, "http://a.org/x", PAGE.format(main="article")), (1, "http://a.org/x", PAGE.format(main="article")), (2, None, None), (3, "http://b.org", "<p>hé")]
     made = warc.responses(pages(spark, rows))
