@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import gc
+import itertools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,6 +14,9 @@ from contextvars import ContextVar
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: After so many tables the driver frees what plans of tables already written held: its heap, and the shuffles and broadcasts in the cluster.
+FREE_EVERY = 16
+_count = itertools.count(1)
 #: Tables that ``cut`` wrote, by the scope they belong to.
 _written: dict[str, list[tuple[SparkSession, str]]] = {}
 _scope: ContextVar[str] = ContextVar("scope", default="session")
@@ -81,6 +86,9 @@ def cut(df: DataFrame, owner: str) -> DataFrame:
         write = write.options(**_PLAIN).mode("append")  # the folder is new and empty
     write.parquet(path)
     _written.setdefault(_scope.get(), []).append((spark, path))
+    if next(_count) % FREE_EVERY == 0:
+        gc.collect()
+        jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

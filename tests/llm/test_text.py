@@ -211,6 +211,15 @@ def test_scratch_tables_have_no_files_beside_their_parts(spark):
     assert scratch.cut(spark.range(10).where("id < 0"), "t").count() == 0
 
 
+def test_driver_frees_what_written_tables_held(spark):
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    whole = lambda: sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before = whole()
+    for _ in range(scratch.FREE_EVERY):
+        scratch.cut(spark.range(1), "t")
+    assert whole() > before
+
+
 def test_scopes_keep_what_others_wrote(spark):
     kept = scratch.cut(spark.range(3), "t")
     with scratch.scope() as name:
